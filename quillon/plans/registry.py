@@ -1,0 +1,6 @@
+"""Queries and SQL of the engine's own operators."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
