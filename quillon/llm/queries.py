@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
+from .langid import op2_language
+from .passages import op6_passages
+from .pieces import op8_sentencepiece
+from .quality import op10_quality
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_decontaminate": op4_decontaminate}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op4_decontaminate, op6_passages, op8_sentencepiece, op10_quality)}
 ORACLES: dict[str, str] = {}
