@@ -137,3 +137,31 @@ def rows(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHU
         texts = text_bytes(batch.column(batch.schema.get_field_index(text)))
         for a, b in chunked(texts, limit):
             yield batch.slice(a, b - a), texts[a:b]
+
+
+#: Bits of a membership filter: 1 MiB to broadcast, whatever the number of ids.
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(ids: DataFrame, column: str):
+    """A test of a long column that holds for all ids of the table, and for few others while they are under some millions.
+
+    It only saves shuffling rows that a join would drop, so its size is fixed: with more ids it passes more rows.
+    """
+    from pyspark.sql import functions as F
+
+    spot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    found = ids.select(spot.alias("s")).groupBy(F.bitmap_bucket_number(F.col("s") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("s") + 1)).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in found:  # bucket numbers start at 1
+        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(s):
+        import pandas as pd
+
+        x = s.to_numpy(np.int64)
+        return pd.Series((shared.value[x >> 3] >> (x & 7) & 1).astype(bool))
+
+    return lambda c: test(F.pmod(F.xxhash64(F.coalesce(c.cast("long"), F.lit(0))), F.lit(FILTER_BITS)))
