@@ -165,3 +165,11 @@ def maybe_in(ids: DataFrame, column: str):
         return pd.Series((shared.value[x >> 3] >> (x & 7) & 1).astype(bool))
 
     return lambda c: test(F.pmod(F.xxhash64(F.coalesce(c.cast("long"), F.lit(0))), F.lit(FILTER_BITS)))
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """Smaller Arrow batches for tables of texts, where the session has Spark's default; workers hold a batch twice."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df

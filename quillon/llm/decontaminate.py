@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Words, rows
+from .common import ALNUM_WORDS, Words, lean, rows
 
 WINDOW = 13
 #: UTF-8 bytes of test items that are sent to the executors at once.
@@ -180,7 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     Null and empty texts have no words. Items without an id or a word are no items; several rows of one id are one item.
     """
-    out = docs.withColumns({"__text": F.col(text_col).cast("string"), "__n": F.lit(0).cast("long"), "__hits": F.lit(b"").cast("binary"), "__items": F.array().cast("array<string>")})
+    out = lean(docs).withColumns({"__text": F.col(text_col).cast("string"), "__n": F.lit(0).cast("long"), "__hits": F.lit(b"").cast("binary"), "__items": F.array().cast("array<string>")})
     blocks = _blocks(benchmark, item_col, item_text)
     for block in chain([next(blocks, [])], blocks):
         items = docs.sparkSession.sparkContext.broadcast(Items(block, window))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows
+from .common import lean, rows
 
 #: Labelled rows for fitting: per language and in all. Landmarks per language and in all.
 PER_LANG, SAMPLE_ROWS, LANDMARKS, MAX_LANDMARKS = 200, 4096, 24, 512
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """All rows and columns, with ``__lang`` and ``__score``."""
-    out = docs.withColumns({"__text": F.col(text_col).cast("string"), "__lang": F.lit("und").cast("string"), "__score": F.lit(0.0).cast("double")})
+    out = lean(docs).withColumns({"__text": F.col(text_col).cast("string"), "__lang": F.lit("und").cast("string"), "__score": F.lit(0.0).cast("double")})
     if model is None:
         return out.drop("__text")
     shared = docs.sparkSession.sparkContext.broadcast(model)

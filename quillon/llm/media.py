@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import scratch, text_bytes
+from .common import lean, scratch, text_bytes
 from .files import locate, put
 
 ROW = 64
@@ -110,7 +110,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         if archive is not None:
             yield _count(*archive.close())
 
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return known.mapInArrow(run, "uri string, n long").agg(F.sum("n")).first()[0] or 0
 
 

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, text_bytes
+from .common import lean, rows, text_bytes
 from .decontaminate import _bound, _spread, stable_order, suffix_array
 
 MARK = "▁"
 #: Distinct cuts that a worker remembers; and bytes of text in a batch.
-MEMO, BATCH_BYTES = 300_000, 2 << 20
+MEMO, BATCH_BYTES = 150_000, 1 << 20
 
 
 class Vocabulary:
@@ -70,14 +70,15 @@ class Vocabulary:
             done = (self.length[live] == j + 1) & (lo < hi)
             k, slot = _spread(lo[done], hi[done])
             starts.append(order[slot])
-            which.append(live[done][k])
+            which.append(live[done][k].astype(np.int32))
             more = (self.length[live] > j + 1) & (lo < hi)
             live, lo, hi = live[more], lo[more], hi[more]
-        piece = np.concatenate(which)
-        key = np.concatenate(starts) * (self.depth + 1) + self.length[piece]
-        bits = len(self.pieces).bit_length()
-        both = np.sort(key << bits | piece)
-        return both >> bits, both & ((1 << bits) - 1)
+        bits, step = len(self.pieces).bit_length(), self.depth + 1
+        both = np.concatenate([(s * step + self.length[p]) << bits | p for s, p in zip(starts, which)])
+        starts.clear()
+        which.clear()
+        both.sort()
+        return both >> bits, (both & ((1 << bits) - 1)).astype(np.int32)
 
     def _cuts(self, cuts: list[str]) -> None:
         """Encodes cuts and remembers them."""
@@ -166,7 +167,7 @@ class Vocabulary:
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """All rows and columns, with ``__ids`` (32-bit little-endian ids) and, if asked for, ``__decoded`` (their text)."""
-    out = docs.withColumns({"__text": F.col(text_col).cast("string"), "__ids": F.lit(b"").cast("binary")} | ({"__decoded": F.lit("").cast("string")} if decoded else {}))
+    out = lean(docs).withColumns({"__text": F.col(text_col).cast("string"), "__ids": F.lit(b"").cast("binary")} | ({"__decoded": F.lit("").cast("string")} if decoded else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(path)

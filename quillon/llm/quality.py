@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, mix, rows
+from .common import SPACE_WORDS, Words, lean, mix, rows
 from .langid import held_out
 
 #: Labelled rows a class that training takes at most.
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and columns, with ``__score``: how likely the label is 1."""
-    out = docs.withColumns({"__text": F.col(text_col).cast("string"), "__score": F.lit(0.0).cast("double")})
+    out = lean(docs).withColumns({"__text": F.col(text_col).cast("string"), "__score": F.lit(0.0).cast("double")})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import cut, lean, text_bytes
 from .components import connected
 
 #: Fingerprints that a shard should hold, and fingerprints a shard's task takes as its own at most.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
             fp = np.array([fingerprint(t, words, seed) for t in text_bytes(b.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc", "fp"])
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    ids = lean(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return ids.mapInArrow(run, "doc long, fp long")
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, scratch, text_bytes
+from .common import chunked, lean, scratch, text_bytes
 from .files import get, put
 
 MAGIC = b"QRNS0001"
@@ -165,7 +165,7 @@ class Encoder:
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
     """Writes files in ascending order of ids; (place in the order, URI, ids) of each."""
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, min(MAX_FILES, -(-size // FILE_BYTES)))
     end = np.array([end_id], "<u4").tobytes()
