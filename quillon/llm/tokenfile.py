@@ -14,9 +14,11 @@ Null texts are empty and have the end id alone. Ids are in ascending order of do
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,10 @@ PRECISION, LANES, BLOCK = 20, 1024, 1 << 18
 #: Bytes of text of a file, and files at most (then files grow).
 FILE_BYTES, MAX_FILES = 16 << 20, 20000
 #: Distinct words that a worker remembers.
-MEMO = 300_000
+MEMO = 500_000
+_TAIL_MARKS = re.compile(rb"([a-z0-9])([.,;:!?#]+)(?![^ \t\n\v\f\r])")
+#: Ids below this are counted in a table, others are sorted.
+TABLE = 1 << 22
 _LOW, _HEAD, _POINT, _TAIL = np.uint64(1 << 31), struct.Struct("<8sQQII"), np.dtype([("place", "<u8"), ("first", "<u8"), ("n", "<u4"), ("crc", "<u4")]), struct.Struct("<QI8s")
 
 
@@ -85,7 +90,12 @@ def decode_block(raw: bytes, n: int, f: np.ndarray, c: np.ndarray, slots: np.nda
 
 def pack(ids: np.ndarray, docs: list[int | None], lengths: np.ndarray) -> bytes:
     """A file of some documents' ids."""
-    symbols, s, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < TABLE:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        s, counts = (np.cumsum(counts > 0) - 1)[ids], counts[symbols]
+    else:
+        symbols, s, counts = np.unique(ids, return_inverse=True, return_counts=True)
     f = frequencies(counts) if len(ids) else np.zeros(0, np.uint64)
     c = np.cumsum(f) - f
     tables = zlib.compress(symbols.astype("<u4").tobytes() + f.astype("<u4").tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs) + lengths.astype("<u8").tobytes())
@@ -144,15 +154,33 @@ class File:
 
 
 class Encoder:
-    """The tokenizers library over words between white space, which no token crosses; words met before are remembered."""
+    """The tokenizers library over words that no token crosses; words met before are remembered.
+
+    Words end at white space and, where they end in an ASCII letter or digit, before the marks that follow them up to white
+    space; ASCII capitals count as small. Each of this is tried on the tokenizer first: one that tells capitals or joins marks gets plain
+    words, and one whose tokens cross white space gets whole texts. Texts that spell a special token are cut at white space only.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.of, self.memo = Tokenizer.from_file(path), {}
+        one = lambda t: self.of.encode(t, add_special_tokens=False).ids
+        self.cuts = one("Ab, c\n\nd 1") == [*one("Ab,"), *one("c"), *one("d"), *one("1")]
+        self.folds = one("THe QUICK") == one("the quick") and one("the quick1.,") == [*one("the"), *one("quick1"), *one(".,")]
+        self.special = [t.content.encode().lower() for t in self.of.get_added_tokens_decoder().values()]
+
+    def words(self, text: bytes) -> list[bytes]:
+        if not self.cuts:
+            return [text]
+        if self.folds:
+            low = text.lower()
+            if not any(t in low for t in self.special):
+                return _TAIL_MARKS.sub(rb"\1 \2", low).split()
+        return text.split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
+        cut = [self.words(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         fresh = list(set().union(*cut) - self.memo.keys())
@@ -163,6 +191,12 @@ class Encoder:
         return [b"".join(map(self.memo.__getitem__, x)) for x in cut]
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; its tasks share the words met."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
     """Writes files in ascending order of ids; (place in the order, URI, ids) of each."""
     known = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -174,11 +208,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, ids, docs_ = Encoder(tokenizer), [], []
+        of, ids, docs_ = encoder(tokenizer), [], []
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for a, b in chunked(texts):
-                ids += [x + end for x in encoder.encode(texts[a:b])]
+                ids += [x + end for x in of.encode(texts[a:b])]
             docs_ += batch.column(0).to_pylist()
         if docs_:
             lengths = np.array([len(x) // 4 for x in ids], np.int64)

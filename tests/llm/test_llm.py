@@ -173,6 +173,17 @@ def test_token_file(spark, docs, rows, nothing):
     assert tokenfile.read(spark, tokenfile.write(nothing, path, scratch(spark, "t"))).count() == 0
 
 
+def test_words_of_token_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), tokenfile.Encoder(path)
+    odd = ["A b.", "x...,", "It's. IT'S, 'S. don't!", "<|ENDOFTEXT|> Ab.", "<|endoftext|>. aB", "E\u0301. e\u0301, \u0130. \u212a.", "1.2. 33,4; ###", "a.\u00a0b. c.\u2003d", "\u00df. \u00e9.", ".,a", "", " \n", "a#'. b#\u2026", "\u65e5\u672c.", "\U0001f600. a\U0001f600."]
+    assert e.cuts and e.folds
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([x.encode() for x in odd])] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+
+
 @pytest.mark.parametrize("n,kinds", [(0, 1), (1, 1), (5000, 1), (3000, 2), (600000, 40000), (1025, 300)])
 def test_coding(n, kinds):
     rng = np.random.default_rng(n)
