@@ -34,8 +34,13 @@ PRECISION, LANES, BLOCK = 20, 1024, 1 << 18
 #: Bytes of text of a file, and files at most (then files grow).
 FILE_BYTES, MAX_FILES = 16 << 20, 20000
 #: Distinct words that a worker remembers.
-MEMO = 500_000
+MEMO = 800_000
 _TAIL_MARKS = re.compile(rb"([a-z0-9])([.,;:!?#]+)(?![^ \t\n\v\f\r])")
+#: Words of a-z and the small letters U+00DF to U+00FF, as UTF-8.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The characters that byte-level models have for bytes: printable ones for themselves, the others from U+0100 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = dict(zip(sorted(set(range(256)) - set(_SHOWN)), range(0x100, 0x200)))
 #: Ids below this are counted in a table, others are sorted.
 TABLE = 1 << 22
 _LOW, _HEAD, _POINT, _TAIL = np.uint64(1 << 31), struct.Struct("<8sQQII"), np.dtype([("place", "<u8"), ("first", "<u8"), ("n", "<u4"), ("crc", "<u4")]), struct.Struct("<QI8s")
@@ -159,6 +164,7 @@ class Encoder:
     Words end at white space and, where they end in an ASCII letter or digit, before the marks that follow them up to white
     space; ASCII capitals count as small. Each of this is tried on the tokenizer first: one that tells capitals or joins marks gets plain
     words, and one whose tokens cross white space gets whole texts. Texts that spell a special token are cut at white space only.
+    Words of small Latin letters, which normalisers leave as they are, go to the library's byte-level model at once if tries show no difference.
     """
 
     def __init__(self, path: str):
@@ -168,6 +174,8 @@ class Encoder:
         one = lambda t: self.of.encode(t, add_special_tokens=False).ids
         self.cuts = one("Ab, c\n\nd 1") == [*one("Ab,"), *one("c"), *one("d"), *one("1")]
         self.folds = one("THe QUICK") == one("the quick") and one("the quick1.,") == [*one("the"), *one("quick1"), *one(".,")]
+        self.model = self.of.model
+        self.plain = self.folds and all(one(w) == [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LEVEL))] for w in ("a", "quick", "\u00e9t\u00e9", "stra\u00dfe", "xqzvjk"))
         self.special = [t.content.encode().lower() for t in self.of.get_added_tokens_decoder().values()]
 
     def words(self, text: bytes) -> list[bytes]:
@@ -183,9 +191,15 @@ class Encoder:
         cut = [self.words(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        fresh = list(set().union(*cut) - self.memo.keys())
-        for a in range(0, len(fresh), 4096):
-            part = fresh[a : a + 4096]
+        fresh, other = list(set().union(*cut) - self.memo.keys()), []
+        for w in fresh:
+            if self.plain and _PLAIN.fullmatch(w):
+                t = w.decode("latin-1")
+                self.memo[w] = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(t if t.isascii() else t.translate(_BYTE_LEVEL)))
+            else:
+                other.append(w)
+        for a in range(0, len(other), 4096):
+            part = other[a : a + 4096]
             for w, e in zip(part, self.of.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 self.memo[w] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(self.memo.__getitem__, x)) for x in cut]
