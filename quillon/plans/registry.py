@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text, vectors
-from quillon.operators import codes, dataset, neighbors, quantize, sequence_lm
-from quillon.sources import loose
+from quillon.operators import codes, dataset, neighbors, quantize, sequence_lm, text_vectors
+from quillon.sources import loose, sinks
 
 MIN_RATING, MIN_ITEMS, BEGIN, PART, ORDER, ALPHA, VOCABULARY, K1, K2 = 10, 5, 1_000_001, 1_000_000, 3, 0.001, 1_000_002, 16, 8
 QUERIES: dict = {}
@@ -227,6 +227,11 @@ def item_to_sid(spark, d):
     return _codes(spark, d).select("vec_id", vectors.code_text(F.col("codes")).alias("sid"), vectors.code_text(vectors.offset_codes(F.col("codes"), [K1, K2])).alias("sid_offset"))
 
 
+@query(f"WITH {_V} SELECT vec_id, k1 sid_0, k2 sid_1, k1 sid_offset_0, CAST(k2 + {K1} AS INT) sid_offset_1, sid, k1 || '-' || (k2 + {K1}) sid_offset FROM sid")
+def sid_table(spark, d):
+    return sinks.sid_table(_codes(spark, d), "vec_id", [K1, K2])
+
+
 @query(f"WITH {_V}, g AS (SELECT 1 AS depth, count(*) n FROM sid GROUP BY k1 UNION ALL SELECT 2, count(*) FROM sid GROUP BY sid) SELECT CAST(depth AS INT) AS depth, count(*) unique_prefixes, round(count(*) / sum(n), 6) unique_ratio, CAST(sum(n) - count(*) AS BIGINT) extra_collisions, round((sum(n) - count(*)) / sum(n), 6) collision_rate_extra, count(*) FILTER (n > 1) collision_groups, max(n) max_group_size FROM g GROUP BY depth")
 def prefix_stats(spark, d):
     p = codes.prefixes(_codes(spark, d))
@@ -368,3 +373,9 @@ def learned_codes(spark, d):
 def principal_components(spark, d):
     mean, top, share = quantize.principal(_vec(spark, d), "x", 8)
     return spark.createDataFrame([(i, float(s), [float(x) for x in v]) for i, (s, v) in enumerate(zip(share, top))], "component int, variance_share double, loadings array<double>")
+
+
+@query()
+def text_vectors_of_items(spark, d):
+    x = text_vectors.hashing_svd(items(spark, d).select("item_idx", "description"), "item_idx", "description", 16, 1 << 12)
+    return x.select("item_idx", F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))

@@ -1,3 +1,6 @@
+import json
+import random
+
 import duckdb
 import numpy as np
 import pytest
@@ -5,9 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillon.functions import text, vectors
-from quillon.operators import codes, dataset, quantize, sequence_lm
+from quillon.operators import codes, dataset, quantize, sequence_lm, text_vectors
 from quillon.plans import registry
-from quillon.sources import loose
+from quillon.sources import loose, sinks
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -110,3 +113,37 @@ def test_learned_codes(spark):
     mean, top, share = quantize.principal(df, "x", 3)
     want = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:3]
     assert np.allclose(np.abs((top * want).sum(axis=1)), 1, atol=1e-6) and np.allclose(mean, x.mean(axis=0))
+
+
+def test_text_vectors(spark):
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice(["alpha", "beta", "\u00c9t\u00e9", "the", "delta", "x", "omega", "kappa"]) for _ in range(9))) for i in range(60)] + [(60, None), (61, "the of"), (5, "beta beta")]
+    df = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    got = {(r.id, tuple(r.terms)) for r in text_vectors.terms(df.where("id in (60, 61) or t = 'beta beta'"), "id", "t").collect()}
+    assert got == {(60, ()), (61, ()), (5, ("beta", "beta", "beta beta"))}
+    rows = text_vectors.hashed(text_vectors.terms(df, "id", "t"), "id", 64)
+    dense = np.zeros((len(texts), 64))
+    for i, r in enumerate(rows.collect()):
+        dense[i, r.buckets] = r.weights
+    size = (dense * dense).sum(axis=1)
+    assert np.allclose(size[size > 0], 1) and (size == 0).sum() == 2
+    values, right = text_vectors.truncated_svd(rows, "id", 64, 4, rounds=12)
+    u, want, vt = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(values, want[:4], atol=1e-3) and np.allclose(right @ right.T, vt[:4].T @ vt[:4], atol=0.05)
+    out = text_vectors.hashing_svd(df, "id", "t", 6, 64).collect()
+    assert len(out) == len(texts) and all(len(r.embedding) == 6 for r in out) and not any(np.any(r.embedding) for r in out if r.id in (60, 61))
+    for few in (df.limit(0), df.where("id = 3"), df.where("id >= 60")):
+        assert not any(np.any(r.embedding) for r in text_vectors.hashing_svd(few, "id", "t", 6, 64).collect())
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(0, [1, 2]), (1, [3, 0]), (2, None)], "id long, codes array<int>")
+    sinks.write_csv(sinks.sid_table(df, "id", [4, 4]), f"{tmp_path}/c", ("id", 2))
+    got = sorted(tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/c").collect())
+    assert got == [("0", "1", "2", "1", "6", "1-2", "1-6"), ("1", "3", "0", "3", "4", "3-0", "3-4")]
+    sinks.write_jsonl(df, f"{tmp_path}/j")
+    assert sorted(r.id for r in spark.read.json(f"{tmp_path}/j").collect()) == [0, 1, 2]
+    assert json.loads(sinks.measures(df.groupBy().count())) == {"count": 3}
+    with pytest.raises(ValueError):
+        sinks.measures(df)
+    assert "| 1 |" in sinks.report("R", {"t": df.select("id").orderBy("id")}) and "first 2 rows" in sinks.report("R", {"t": df}, 2)
