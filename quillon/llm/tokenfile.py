@@ -35,9 +35,13 @@ PRECISION, LANES, BLOCK = 20, 1024, 1 << 18
 FILE_BYTES, MAX_FILES = 16 << 20, 20000
 #: Distinct words that a worker remembers.
 MEMO = 800_000
-_TAIL_MARKS = re.compile(rb"([a-z0-9])([.,;:!?#]+)(?![^ \t\n\v\f\r])")
+#: Marks that are cut off where they end a word.
+MARKS = b".,;:!?#*%&$"
 #: Words of a-z and the small letters U+00DF to U+00FF, as UTF-8.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PLAIN_END = re.compile(rb"(?:[a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf])\Z")
+#: Words that go to the library in one text.
+JOINED = 16384
 #: The characters that byte-level models have for bytes: printable ones for themselves, the others from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LEVEL = dict(zip(sorted(set(range(256)) - set(_SHOWN)), range(0x100, 0x200)))
@@ -161,22 +165,28 @@ class File:
 class Encoder:
     """The tokenizers library over words that no token crosses; words met before are remembered.
 
-    Words end at white space and, where they end in an ASCII letter or digit, before the marks that follow them up to white
-    space; ASCII capitals count as small. Each of this is tried on the tokenizer first: one that tells capitals or joins marks gets plain
-    words, and one whose tokens cross white space gets whole texts. Texts that spell a special token are cut at white space only.
-    Words of small Latin letters, which normalisers leave as they are, go to the library's byte-level model at once if tries show no difference.
+    Words end at white space; marks at the end of a word after a small letter or a digit are words of their own; ASCII capitals count
+    as small. Each of this is tried on the tokenizer first: one that tells capitals or joins marks gets plain words, and one whose
+    tokens cross white space gets whole texts. Texts that spell a special token keep their capitals, and words that do are not cut.
+    Words of small Latin letters, which normalisers leave as they are, go to the library's byte-level model at once, many in one text
+    whose words are told apart by the model's word ends, if tries show no difference.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.of, self.memo = Tokenizer.from_file(path), {}
         one = lambda t: self.of.encode(t, add_special_tokens=False).ids
         self.cuts = one("Ab, c\n\nd 1") == [*one("Ab,"), *one("c"), *one("d"), *one("1")]
-        self.folds = one("THe QUICK") == one("the quick") and one("the quick1.,") == [*one("the"), *one("quick1"), *one(".,")]
-        self.model = self.of.model
-        self.plain = self.folds and all(one(w) == [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_LEVEL))] for w in ("a", "quick", "\u00e9t\u00e9", "stra\u00dfe", "xqzvjk"))
+        self.folds = one("THe QUICK") == one("the quick") and all(one(f"the {w}{m}") == [*one("the"), *one(w), *one(m)] for w in ("quick", "quick1", "caf\u00e9", "gro\u00df") for m in (MARKS.decode(), ".", "***"))
         self.special = [t.content.encode().lower() for t in self.of.get_added_tokens_decoder().values()]
+        suffix = getattr(self.of.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.of.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.of.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self.direct = Tokenizer(self.of.model)
+        self.direct.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        tries = [w.encode() for w in ("a", "quick", "\u00e9t\u00e9", "stra\u00dfe", "\u00e0\u00ed\u00f1", "xqzvjk")]
+        self.plain = self.folds and self.joined(tries) == [np.array(one(w.decode()), "<u4").tobytes() for w in tries]
 
     def words(self, text: bytes) -> list[bytes]:
         if not self.cuts:
@@ -184,25 +194,55 @@ class Encoder:
         if self.folds:
             low = text.lower()
             if not any(t in low for t in self.special):
-                return _TAIL_MARKS.sub(rb"\1 \2", low).split()
+                return low.split()
         return text.split()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [self.words(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        fresh, other = list(set().union(*cut) - self.memo.keys()), []
-        for w in fresh:
-            if self.plain and _PLAIN.fullmatch(w):
-                t = w.decode("latin-1")
-                self.memo[w] = b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(t if t.isascii() else t.translate(_BYTE_LEVEL)))
-            else:
-                other.append(w)
+    def joined(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of plain words; None if the model's ids don't tell the words apart."""
+        text = b" ".join(words).decode("latin-1")
+        for byte in (0x9F, 0xA0, 0xAD):  # those of plain words that byte-level models don't show as they are
+            text = text.replace(chr(byte), chr(_BYTE_LEVEL[byte]))
+        ids = np.array(self.direct.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *at], at)] if len(at) == len(words) else None
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of new words that are not to be cut."""
+        other = words
+        if self.plain:
+            other, simple = [], []
+            for w in words:
+                (simple if _PLAIN.fullmatch(w) else other).append(w)
+            for a in range(0, len(simple), JOINED):
+                part = simple[a : a + JOINED]
+                if ids := self.joined(part):
+                    self.memo.update(zip(part, ids))
+                else:
+                    other += part
         for a in range(0, len(other), 4096):
             part = other[a : a + 4096]
             for w, e in zip(part, self.of.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, x)) for x in cut]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        known = self.memo
+        fresh = set().union(*cut).difference(known)
+        marked: list[tuple[bytes, bytes, bytes]] = []
+        if self.cuts and self.folds:
+            for w in fresh:
+                stem = w.rstrip(MARKS)
+                if len(stem) < len(w) and _PLAIN_END.search(stem, len(stem) - 2 if len(stem) > 1 else 0) and not any(t in w.lower() for t in self.special):
+                    marked.append((w, stem, w[len(stem) :]))
+            fresh.difference_update([w for w, _, _ in marked])
+            fresh.update([x for _, *parts in marked for x in parts if x not in known])
+        self.learn(list(fresh))
+        for w, stem, marks in marked:
+            known[w] = known[stem] + known[marks]
+        return [b"".join(map(known.__getitem__, x)) for x in cut]
 
 
 @lru_cache(1)
