@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def earliest(events: DataFrame, user: str, item: str, time: str, row_ord: Column) -> DataFrame:
     """One row for each user and item: the earliest, of equal times the one read first."""
@@ -19,8 +23,17 @@ def active_users(events: DataFrame, user: str, least: int) -> DataFrame:
 
 
 def dense_ids(keys: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """Ids from 0 in the given order; for dimension tables."""
-    return keys.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+    """Ids from 0 in the given order, whose values should differ (equal ones get ids in no stated order).
+
+    Rows are dealt by ranges, sorted and checkpointed, so that places are fixed; an id is the place in the range and the rows of the ranges before.
+    """
+    placed = cut(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()  # a row a partition
+    before = [0, *accumulate(r["n"] for r in sizes)]
+    starts = keys.sparkSession.createDataFrame([(r["__part"], n) for r, n in zip(sizes, before)], "__part long, __start long")
+    out = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return out.withColumn(name, (F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).cast("int" if before[-1] < 1 << 31 else "long")).select(*keys.columns, name)
 
 
 def sequences(events: DataFrame, user: str, time: str, item: str, rating: str, tie: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text, vectors
 from quillon.operators import codes, dataset, neighbors, quantize, sequence_lm, text_vectors
+from quillon.operators.storage import cut
 from quillon.sources import loose, sinks
 
 MIN_RATING, MIN_ITEMS, BEGIN, PART, ORDER, ALPHA, VOCABULARY, K1, K2 = 10, 5, 1_000_001, 1_000_000, 3, 0.001, 1_000_002, 16, 8
@@ -46,17 +47,20 @@ def _kept(spark, d) -> DataFrame:
     return dataset.active_users(dataset.earliest(_events(spark, d), "u", "i", "ts", F.col("ord")), "u", MIN_ITEMS)
 
 
-def _item_ids(spark, d) -> DataFrame:
+def _item_ids(spark, d, kept: DataFrame | None = None) -> DataFrame:
+    kept = _kept(spark, d) if kept is None else kept
     first = _events(spark, d).groupBy("i").agg(F.min("ord").alias("first"))
-    return dataset.dense_ids(first.join(_kept(spark, d).select("i").distinct(), "i", "left_semi"), "item_idx", "first").select("i", "item_idx")
+    return dataset.dense_ids(first.join(kept.select("i").distinct(), "i", "left_semi"), "item_idx", "first").select("i", "item_idx")
 
 
-def _user_ids(spark, d) -> DataFrame:
-    return dataset.dense_ids(_kept(spark, d).groupBy("u").agg(F.count("*").alias("sequence_length")), "user_idx", "u")
+def _user_ids(spark, d, kept: DataFrame | None = None) -> DataFrame:
+    kept = _kept(spark, d) if kept is None else kept
+    return dataset.dense_ids(kept.groupBy("u").agg(F.count("*").alias("sequence_length")), "user_idx", "u")
 
 
 def _coded(spark, d) -> DataFrame:
-    return _kept(spark, d).join(_item_ids(spark, d), "i").join(_user_ids(spark, d), "u")
+    kept = cut(_kept(spark, d))  # read three times
+    return kept.join(_item_ids(spark, d, kept), "i").join(_user_ids(spark, d, kept), "u")
 
 
 def _seq(spark, d) -> DataFrame:
@@ -163,8 +167,9 @@ _TOK = f"tok AS (SELECT user_idx, [{BEGIN}] || flatten(list_transform(items[1:le
 _GRAM = f"""gram AS (SELECT array_to_string(t[p - n:p - 1], ' ') ctx, t[p] token, CAST(n AS INT) len, count(*) n FROM tok, unnest(range(2, len(t) + 1)) a(p), unnest(range(0, {ORDER})) b(n) WHERE n <= p - 1 GROUP BY ALL)"""
 
 
-def _tokens(spark, d):
-    return sequence_lm.streams(_seq(spark, d).where(F.size("items") >= 3), "user_idx", BEGIN, PART)
+def _tokens(spark, d, seq: DataFrame | None = None) -> DataFrame:
+    seq = _seq(spark, d) if seq is None else seq
+    return sequence_lm.streams(seq.where(F.size("items") >= 3), "user_idx", BEGIN, PART)
 
 
 @query(f"WITH {_E}, {_TOK} SELECT user_idx, array_to_string(t, ' ') tokens FROM tok")
@@ -182,20 +187,23 @@ lp AS (SELECT ctx, token, ln((n + {ALPHA}) / (s + {ALPHA} * {VOCABULARY})) lp FR
 SELECT user_idx, round(coalesce(a.lp, b.lp, z.lp, ln({ALPHA} / ((SELECT s FROM tot WHERE ctx = '') + {ALPHA} * {VOCABULARY}))), 6) logp FROM q
 LEFT JOIN lp a ON a.ctx = array_to_string(c, ' ') AND a.token = q.token LEFT JOIN lp b ON b.ctx = CAST(c[2] AS VARCHAR) AND b.token = q.token LEFT JOIN lp z ON z.ctx = '' AND z.token = q.token""")
 def ngram_backoff(spark, d):
-    counts = sequence_lm.ngram_counts(_tokens(spark, d), ORDER)
-    q = _seq(spark, d).where(F.size("items") >= 3).select("user_idx", F.array(F.element_at("items", -3).cast("long"), F.lit(PART).cast("long")).alias("context"), F.element_at("items", -1).cast("long").alias("token"))
+    seq = _seq(spark, d)
+    counts = sequence_lm.ngram_counts(_tokens(spark, d, seq), ORDER)
+    q = seq.where(F.size("items") >= 3).select("user_idx", F.array(F.element_at("items", -3).cast("long"), F.lit(PART).cast("long")).alias("context"), F.element_at("items", -1).cast("long").alias("token"))
     return sequence_lm.backoff(q, counts, ORDER, ALPHA, VOCABULARY).select("user_idx", F.round("logp", 6).alias("logp"))
 
 
 @query()
 def beam_decode(spark, d):
-    counts = sequence_lm.ngram_counts(_tokens(spark, d), 2)
-    table = {(tuple(r.context), r.token): r.n for r in counts.collect()}
+    seq = _seq(spark, d)
+    counts = sequence_lm.bounded(sequence_lm.ngram_counts(_tokens(spark, d, seq), 2), "n-gram counts")
+    table = {(tuple(r.context), r.token): r.n for r in counts}
     totals: dict = {}
     for (c, _), n in table.items():
         totals[c] = totals.get(c, 0) + n
-    popular = [r.item_idx for r in dataset.popularity(_seq(spark, d), _item_ids(spark, d), "item_idx").orderBy(F.desc("n"), "item_idx").collect()]
-    test = dataset.leave_one_out(_seq(spark, d), "user_idx")[2]
+    items = sequence_lm.bounded(dataset.popularity(seq, _item_ids(spark, d), "item_idx"), "items")
+    popular = [r.item_idx for r in sorted(items, key=lambda r: (-r.n, r.item_idx))]
+    test = dataset.leave_one_out(seq, "user_idx")[2]
     return sequence_lm.beam_decode(test, "user_idx", table, totals, {i: (i,) for i in popular}, popular, 2, ALPHA, VOCABULARY, BEGIN, PART, 64, 10).select("user_idx", _J("preds").alias("preds"))
 
 
@@ -342,6 +350,21 @@ def neighbour_prefixes(spark, d):
     return k.groupBy(vectors.common_prefix(F.col("a"), F.col("b")).alias("lcp")).agg(F.count("*").alias("n"))
 
 
+_KNN_Y = """ry AS (SELECT d.vec_id, d.j, b.x + 0.5 * c.x x FROM dims d JOIN sid USING (vec_id) JOIN dims b ON b.vec_id = k1 AND b.j = d.j JOIN dims c ON c.vec_id = k2 + %d AND c.j = d.j),
+uy AS (SELECT vec_id, j, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12) x FROM ry),
+knn_y AS (SELECT anchor, neighbour, row_number() OVER (PARTITION BY anchor ORDER BY sim DESC, neighbour) r FROM (SELECT a.vec_id anchor, b.vec_id neighbour, round(sum(a.x * b.x), 9) sim FROM uy a JOIN uy b USING (j) WHERE a.vec_id %% 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL) QUALIFY r <= 10)""" % K1
+
+
+@query(f"WITH {_V}, {_KNN}, {_KNN_Y}, hit AS (SELECT x.anchor, count(y.neighbour) / 10.0 recall FROM knn x LEFT JOIN knn_y y ON y.anchor = x.anchor AND y.neighbour = x.neighbour GROUP BY x.anchor) SELECT count(*) anchors, round(avg(recall), 6) mean, round(quantile_cont(recall, 0.5), 6) p50, round(quantile_cont(recall, 0.9), 6) p90 FROM hit")
+def neighbour_recall(spark, d):
+    """Share of each anchor's ten neighbours that are also neighbours among the reconstructions."""
+    rec = _reconstructed(spark, d).select("vec_id", "y")
+    lists = lambda k, name: k.groupBy("anchor").agg(F.collect_list("neighbour").alias(name))
+    found = neighbors.knn(rec, "vec_id", "y", rec.where("vec_id % 50 = 0"), 10)
+    hit = lists(_knn(spark, d), "a").join(lists(found, "b"), "anchor").select(neighbors.agreement(F.col("a"), F.col("b"), 10).alias("r"))
+    return hit.agg(F.count("*").alias("anchors"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.percentile("r", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("r", F.lit(0.9)), 6).alias("p90"))
+
+
 @query("SELECT count(*) n, min(value) least, max(value) most, round(avg(value), 6) mean, round(stddev_pop(value), 6) std, count(DISTINCT value) distinct_values FROM events")
 def array_profile(spark, d):
     return loose.profile(_t(spark, d, "events"), "value").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})

@@ -147,3 +147,19 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.measures(df)
     assert "| 1 |" in sinks.report("R", {"t": df.select("id").orderBy("id")}) and "first 2 rows" in sinks.report("R", {"t": df}, 2)
+
+
+def test_dense_ids_over_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 10007).alias("k"), F.col("id").cast("string").alias("s")).repartition(7)
+    for column in ("k", "s"):
+        got = sorted((r[column], r["i"]) for r in dataset.dense_ids(rows, "i", column).collect())
+        assert [i for _, i in got] == list(range(5000))
+    got = dataset.dense_ids(spark.createDataFrame([(None,), (3,), (1,)], "k int"), "i", "k").collect()
+    assert sorted((r["i"], r["k"]) for r in got) == [(0, None), (1, 1), (2, 3)]
+    assert dataset.dense_ids(rows.where("k < 0"), "i", "k").count() == 0
+
+
+def test_bounded_tables(spark):
+    assert len(sequence_lm.bounded(spark.range(5), "five", 5)) == 5
+    with pytest.raises(ValueError):
+        sequence_lm.bounded(spark.range(6), "six", 5)
