@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,33 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.operators.storage import checkpoint_root, cut
+
 #: Bytes of text that one numpy pass handles at a time; longer texts are passes of their own.
 CHUNK_BYTES = 1 << 20
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm.isDefined():
-        return str(jvm.get()).rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    root = checkpoint_root(df.sparkSession)
-    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        df.sparkSession.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{checkpoint_root(spark)}/quillon-{name}-{uuid.uuid4().hex}"
