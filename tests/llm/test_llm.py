@@ -225,6 +225,29 @@ def test_near_passage(spark):
     assert {g[:2] for g in got} == {(2, 1)} and min(g[2] for g in got) == 80 and max(g[3] for g in got) == 199
 
 
+@pytest.mark.parametrize("few,block", [(16, 512), (2, 7)])
+def test_passages_meet_all(spark, tmp_path, monkeypatch, few, block):
+    monkeypatch.setattr(passages, "FEW", few, raising=False)
+    monkeypatch.setattr(passages, "BLOCK_ROWS", block, raising=False)
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    p, q = say(70).split(), say(70)
+    chunks = lambda: " ".join(" ".join(p[k : k + 10]) + " " + say(20) for k in range(rng.randrange(5), 60, 6))
+    # the shingles of p, but not p itself, in the first texts and in those between the two that have it
+    texts = [chunks() for _ in range(12)] + [say(30) + " " + " ".join(p)] + [chunks() for _ in range(12)] + [" ".join(p) + " " + say(40)]
+    texts += [say(rng.randrange(20, 60)) + " " + q + " " + say(30) for _ in range(40)] + [say(80)]
+    texts += [texts[30], texts[30]]  # copies of one of the forty
+    texts += [say(60) + " " + q + " " + say(60) + " " + q + " " + say(60)]  # twice in one document
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in passages.op6_passages(spark, str(tmp_path)).collect()}
+    linked = {i: r.n_links for i, r in got.items() if r.n_links}
+    forty = [*range(26, 66), 67, 68, 69]
+    assert linked == {12: 1, 25: 1} | {i: 42 for i in forty}
+    assert got[25].passages == "0-69" and got[25].component_id == 12 and got[12].n_repeated == 0
+    assert all(got[i].n_repeated == 70 and got[i].component_id == 26 for i in range(27, 66)) and got[67].n_repeated == got[67].n_words
+    assert got[69].passages == "60-129,190-259"
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_compact_windows(seed):
     rng = np.random.default_rng(seed)
