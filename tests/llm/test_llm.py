@@ -248,6 +248,18 @@ def test_passages_meet_all(spark, tmp_path, monkeypatch, few, block):
     assert got[69].passages == "60-129,190-259"
 
 
+def test_near_passages_are_found(spark):
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for i in range(600):  # 50 words, and a word put in somewhere
+        p, k = say(50), rng.randrange(5, 46)
+        texts += [(2 * i, " ".join(say(20) + p + say(20))), (2 * i + 1, " ".join(say(20) + p[:k] + ["other"] + p[k:] + say(20)))]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {(r.doc, r.other) for r in passages.repeats(d).collect()}
+    assert found <= {(2 * i + 1, 2 * i) for i in range(600)} and len(found) >= 597, len(found)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_compact_windows(seed):
     rng = np.random.default_rng(seed)
