@@ -92,7 +92,13 @@ class Words:
             p, q = _power(len(buf) + 1)
             total = np.zeros(len(buf) + 1, np.uint64)
             np.cumsum(_TABLE[buf] * p[: len(buf)], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * q[self.start]) | np.uint64(1)
+            self._sums = total, q
+            self.hash = self.hashes(self.start, self.end)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of any byte ranges."""
+        total, q = self._sums
+        return mix((total[end] - total[start]) * q[start]) | np.uint64(1)
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n-word shingles at each word, and which words start a whole one within their text."""

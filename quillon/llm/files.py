@@ -25,6 +25,8 @@ def put(uri: str, data: bytes) -> None:
 
 
 def get(uri: str, start: int = 0, size: int | None = None) -> bytes:
+    """Bytes of a file from ``start`` on; a negative start counts from the end."""
     store, path = locate(uri)
     with store.open_input_file(path) as f:
+        start = start + f.size() if start < 0 else start
         return f.read_at(f.size() - start if size is None else size, start)

@@ -173,6 +173,35 @@ def test_token_file(spark, docs, rows, nothing):
     assert tokenfile.read(spark, tokenfile.write(nothing, path, scratch(spark, "t"))).count() == 0
 
 
+def test_token_files_of_a_range(spark, rows):
+    """A range of several files, files that several tasks read, rows of one id in several ranges."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    many = [r[:2] for r in rows] + [(5, f"{k} {rows[k][1]}") for k in range(40)] + [(None, f"z{k}") for k in range(5)]
+    files = tokenfile.write(spark.createDataFrame(many, "doc_id long, text string").repartition(4), path, scratch(spark, "t"), file_bytes=4000, most=3, block=512)
+    assert files.count() > 9 and files.where("blocks > 2").count()
+    by = sorted(tokenfile.read(spark, files, 2).collect(), key=lambda r: r.start)
+    assert [r.start for r in by] == np.cumsum([0, *(r.n_tokens for r in by)])[:-1].tolist()
+    assert [r.doc_id for r in by] == sorted((r[0] for r in many), key=lambda x: (x is not None, x or 0))
+    want = sorted((str(d), t.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in many)
+    assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in by) == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_token_ids_equal_the_library(seed):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e, rng = Tokenizer.from_file(path), tokenfile.Encoder(path), random.Random(seed)
+    bits = [*".,;:!?#*%&$-_()\"'<> \n\t\r\x0b\x1c\x00\x85", "...", "'s", "a", "the", "The", "QUICK", "1", "23", "\u00e9", "\u00c9", "\u00df", "\u00ff", "\u65e5\u672c", "\U0001f600", "\u00a0", "\u2003", "  ", "<|endoftext|>" if seed else "x", "e\u0301", "\u0130", "\u212a", "\u0149", "zvj"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_words_of_token_file():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -189,7 +218,9 @@ def test_coding(n, kinds):
     rng = np.random.default_rng(n)
     ids = (rng.zipf(1.3, n) % kinds).astype(np.uint32)
     file = tokenfile.File(tokenfile.pack(ids, [1, None], np.array([n // 3, n - n // 3])))
-    assert np.array_equal(np.concatenate([*file.texts()]), ids) and file.docs == [1, None]
+    assert np.array_equal(np.concatenate([x for _, x in file.texts()]) if n else ids, ids) and file.docs == [1, None]
+    parts = [(d, x) for a in range(len(file.points)) for d, x in file.texts(a, 1)]  # a run of blocks has the documents that begin there
+    assert n < 3 or [d for d, _ in parts] == [0, 1] and np.array_equal(np.concatenate([x for _, x in parts]), ids)
     if n > tokenfile.BLOCK:
         assert np.array_equal(file.block(1), ids[tokenfile.BLOCK : 2 * tokenfile.BLOCK])
         data = bytearray(file.data)
