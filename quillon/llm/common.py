@@ -20,6 +20,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/quillon-{name}-{uuid.uuid4().hex}"
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     if pa.types.is_null(column.type):
@@ -152,7 +163,10 @@ def maybe_in(ids: DataFrame, column: str):
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """Smaller Arrow batches for tables of texts, where the session has Spark's default; workers hold a batch twice."""
+    """Smaller Arrow batches for tables of texts, where the session has Spark's default; workers hold a batch twice.
+
+    The setting is read when a plan runs, so it stays for the session; a session that sets another value keeps it.
+    """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

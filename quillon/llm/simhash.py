@@ -5,11 +5,15 @@ fingerprint and a radius for its level's block: fingerprints within the radius g
 others outside. Block distances add up to a lower bound of the Hamming distance, so a search with
 radius r may cross a node's boundary only while the sum of the crossings' costs is at most r (the
 triangle inequality over disjoint blocks). Every fingerprint has one home shard (leaf) and visits the
-shards that its ball of radius r overlaps; each shard compares its own members with its visitors
-exactly. Shards give links of a spanning forest, not pairs, so that groups of copies stay linear.
+shards that its ball of radius r overlaps. A shard is large, so that few levels part the shards and visits stay few; it
+builds a tree of its own over its members and compares them with its visitors exactly, leaf by leaf. Shards give links of a spanning forest of near
+pairs, not all pairs, so that groups of copies stay linear.
+
+``near_duplicates`` links fingerprints alone (three words, 3 bits). ``keep_one`` takes five words and a Jaccard similarity of 0.8 or more: it links by ``TABLES``
+independent fingerprints of 48 bits within 3 bits each and verifies each link on the texts' shingle sets; of such texts two with the fewest shared shingles may stay apart in all tables.
 
 Nulls and empty texts have no words and fingerprint zero, and are linked like any other. Rows are
-kept as they are: repeated rows are rows of one component, null ids have the component of their text.
+kept as they are: repeated rows are rows of one component, null ids have the component of their text. Columns of any other name are let be. A text is handled whole by one task.
 """
 
 from __future__ import annotations
@@ -22,13 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, text_bytes
+from .common import SPACE_WORDS, Words, chunked, cut, free, lean, maybe_in, mix, rows, text_bytes
 from .components import connected
 
-#: Fingerprints that a shard should hold, and fingerprints a shard's task takes as its own at most.
-SHARD_ROWS, TASK_ROWS = 1024, 16384
-#: Fingerprints looked at for a leaf's radius; with MAX_LEVELS this bounds the sample on the driver.
-SAMPLE_PER_SHARD, MAX_SAMPLE, MAX_LEVELS = 32, 16384, 16
+#: Fingerprints that a shard should hold, that a task takes as its own at most, and that a leaf of its own tree should hold.
+SHARD_ROWS, TASK_ROWS, LEAF_ROWS = 1 << 17, 1 << 19, 256
+#: Fingerprints looked at for a leaf's radius; with MAX_LEVELS this bounds the sample on the driver (a million). Both set the cost, not the result.
+SAMPLE_PER_SHARD, MAX_LEVELS = 32, 15
+#: Fingerprints a text in ``keep_one``, words of a shingle and the least similarity there.
+TABLES, SHINGLE, SIMILARITY = 16, 5, 0.8
+#: Bits of each of these: fewer bits find more of the near pairs that a radius of 3 can, and 48 keep chance pairs rare up to 10**11 texts.
+TABLE_BITS = 48
+#: A byte's bits as eight counters of a byte each.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -65,8 +75,8 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
 class Tree:
     """Vantage-point tree whose nodes split one block of bits each; leaves are shards."""
 
-    def __init__(self, sample: np.ndarray, levels: int):
-        cuts = [i * 64 // levels for i in range(levels + 1)] if levels else [0]
+    def __init__(self, sample: np.ndarray, levels: int, bits: int = 64):
+        cuts = [i * bits // levels for i in range(levels + 1)] if levels else [0]
         self.masks = [np.uint64(((1 << b) - (1 << a)) & (2**64 - 1)) for a, b in zip(cuts, cuts[1:])]
         self.leaves = 0
         self.root = self._grow(sample, 0)
@@ -83,13 +93,14 @@ class Tree:
         self.leaves += 1
         return self.leaves - 1
 
-    def route(self, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, x: np.ndarray, radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, index, at home) for each visit. Of two shards that a pair spans, one sees it.
 
-        A home row crosses only from inside to outside: its partner there need not come back.
+        A home row crosses only from inside to outside: its partner there need not come back. Rows that aren't at ``home`` here cross both ways.
         """
+        own = np.ones(len(x), bool) if home is None else home
         leaf, index, home = [], [], []
-        todo = [(self.root, np.arange(len(x)), np.full(len(x), radius), np.ones(len(x), bool))]
+        todo = [(self.root, np.arange(len(x)), np.full(len(x), radius), own)]
         while todo:
             node, i, left, own = todo.pop()
             if not len(i):
@@ -111,44 +122,68 @@ class Tree:
 
 
 def _forest(own: np.ndarray, rest: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what pairs within the radius connect: own with own, and own with rest."""
+    """Near pairs that connect what all near pairs connect: own with own, and own with rest."""
     x = np.concatenate([own, rest])
     label = np.arange(len(x))
+    left, right = [], []
     for a in range(0, len(own), 64):
         near = np.bitwise_count(x[a : min(a + 64, len(own)), None] ^ x[None, :]) <= radius
         for r in np.flatnonzero(near.sum(axis=1) > 1):
-            found = np.unique(label[near[r]])
+            to = np.flatnonzero(near[r])
+            found, one = np.unique(label[to], return_index=True)
             if len(found) > 1:
+                one = one[found != label[a + r]]
+                left.append(np.full(len(one), x[a + r]))
+                right.append(x[to[one]])
                 label[np.isin(label, found)] = found[0]
-    linked = np.flatnonzero(label != np.arange(len(x)))
-    return x[linked], x[label[linked]]
+    return (np.concatenate(left), np.concatenate(right)) if left else (x[:0], x[:0])
+
 
+def _near(own: np.ndarray, rest: np.ndarray, radius: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The same through a vantage-point tree over the own fingerprints."""
+    if len(own) <= 2 * LEAF_ROWS:
+        return _forest(own, rest, radius)
+    tree = Tree(own, min(16, int(np.ceil(np.log2(len(own) / LEAF_ROWS)))), bits)
+    x, out = np.concatenate([own, rest]), []
+    leaf, index, home = tree.route(x, radius, np.arange(len(x)) < len(own))
+    by = np.argsort(leaf, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
+        if (at_home := home[part]).any():
+            out.append(_forest(x[index[part[at_home]]], x[index[part[~at_home]]], radius))
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (x[:0], x[:0])
 
-def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links that connect exactly the fingerprints that pairs within the radius connect."""
+
+def links(distinct: DataFrame, radius: int = 3, kind: str | None = None, bits: int = 64) -> DataFrame:
+    """(kind, a, b): near pairs of distinct fingerprints fp that connect what all pairs within the radius connect; a tree for each ``kind`` (an int column), if there are several."""
     spark = distinct.sparkSession
-    n = distinct.count()
+    of = F.col(kind).cast("int") if kind else F.lit(0)
+    distinct = distinct.select(of.alias("kind"), "fp")
+    sizes = {r.kind: r["count"] for r in distinct.groupBy("kind").count().collect()}  # a row a table of fingerprints
+    n = max(sizes.values(), default=0)
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / SHARD_ROWS)))))
-    few = distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(MAX_SAMPLE, SAMPLE_PER_SHARD << levels)).collect() if levels else []
-    tree = Tree(np.array([r.fp for r in few], np.int64).view(np.uint64), levels)
+    rate = int(min(1.0, (SAMPLE_PER_SHARD << levels) / max(1, n)) * (1 << 30))
+    few = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) <= rate).collect() if levels else []
+    sample = {k: np.sort(np.array([r.fp for r in few if r.kind == k], np.int64).view(np.uint64)) for k in sizes}
+    trees = {k: Tree(v[np.argsort(mix(v), kind="stable")], levels, bits) for k, v in sample.items()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy()
-            for a in range(0, len(fp), 2048):
-                part = fp[a : a + 2048]
-                leaf, index, home = tree.route(part.view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part[index]), pa.array(home)], names=["shard", "fp", "home"])
-
-    visits = distinct.select("fp").mapInArrow(route, "shard long, fp long, home boolean")
-    if levels == 0 and n <= TASK_ROWS:
-        split = {}
-    else:  # at most 2**MAX_LEVELS shards
-        homes = distinct.select("fp").mapInArrow(route, "shard long, fp long, home boolean").where("home").groupBy("shard").count().where(F.col("count") > TASK_ROWS)
-        split = {r["shard"]: -(-r["count"] // TASK_ROWS) for r in homes.collect()}
+            kinds, all_ = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in np.unique(kinds).tolist():
+                fp = all_[kinds == k]
+                for a in range(0, len(fp), 2048):
+                    part = fp[a : a + 2048]
+                    leaf, index, home = trees[k].route(part.view(np.uint64), radius)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), k, np.int32)), pa.array(leaf), pa.array(part[index]), pa.array(home)], names=["kind", "shard", "fp", "home"])
+
+    visits = distinct.mapInArrow(route, "kind int, shard long, fp long, home boolean")
+    split = {}
+    if n > TASK_ROWS:  # at most 2**MAX_LEVELS shards a kind
+        homes = visits.where("home").groupBy("kind", "shard").count().where(F.col("count") > TASK_ROWS)
+        split = {(r["kind"], r["shard"]): -(-r["count"] // TASK_ROWS) for r in homes.collect()}
     if split:  # an overfull shard is dealt to tasks that own a part each and see all of it
-        parts = spark.createDataFrame(list(split.items()), "shard long, parts int")
-        visits = visits.join(F.broadcast(parts), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        parts = spark.createDataFrame([(*k, n) for k, n in split.items()], "kind int, shard long, parts int")
+        visits = visits.join(F.broadcast(parts), ["kind", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("parts")) == F.col("part")))
     else:
         visits = visits.withColumn("part", F.lit(0))
@@ -156,30 +191,140 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     def pairs(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()
-        a, b = _forest(fp[home], fp[~home], radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        a, b = _near(fp[home], fp[~home], radius, bits)
+        return pa.table({"kind": pa.array(np.full(len(a), table.column("kind")[0].as_py(), np.int32)), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return visits.groupBy("shard", "part").applyInArrow(pairs, "a long, b long")
+    return visits.groupBy("kind", "shard", "part").applyInArrow(pairs, "kind int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp, component): every row with the smallest id that its links reach, itself included."""
     each = cut(fingerprints(docs, words, seed, id_col, text_col))
     distinct = cut(each.groupBy("fp").agg(F.min("doc").alias("low")))
-    roots = connected(links(distinct, radius), "a", "b").withColumnRenamed("node", "fp")
+    roots = connected(links(distinct, radius).select("a", "b"), "a", "b").withColumnRenamed("node", "fp")
     nodes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = nodes.groupBy("root").agg(F.min("low").alias("component"))
     return each.join(nodes.select("fp", "root").join(lows, "root").select("fp", "component"), "fp").select("doc", "fp", "component")
 
 
+def shingle_fingerprints(texts: list[bytes], words: int = SHINGLE, tables: int = TABLES) -> np.ndarray:
+    """A row of independent fingerprints a text; texts of fewer words have one shingle, those of none zeros."""
+    w = Words(texts, SPACE_WORDS)
+    h, ok = w.shingles(words)
+    h, of = h[ok], w.doc[ok]
+    short = np.flatnonzero((w.counts > 0) & (w.counts < words))
+    if len(short):
+        total = np.array([int(mix(w.hash[a : a + n] + np.arange(1, n + 1, dtype=np.uint64)).sum()) for a, n in zip(w.first[short], w.counts[short])], np.uint64)
+        h, of = np.concatenate([h, mix(total)]), np.concatenate([of, short])
+        by = np.argsort(of, kind="stable")
+        h, of = h[by], of[by]
+    out = np.zeros((len(texts), tables), np.int64)
+    if not len(h):
+        return out
+    n = np.bincount(of, minlength=len(texts))
+    head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    size = np.diff(np.append(head, len(of)))
+    runs = -(-size // 255)  # a counter holds 255
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(head, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
+    mask = np.uint64((1 << TABLE_BITS) - 1)
+    for k in range(tables):
+        bits = mix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+        lanes = np.add.reduceat(_LANES[bits.view(np.uint8).reshape(-1, 8)], starts, axis=0)
+        total = np.add.reduceat(lanes.view(np.uint8).reshape(len(starts), 64), first, axis=0, dtype=np.int64)
+        full = np.packbits(2 * total > n[of[head], None], axis=1, bitorder="little").view("<u8")[:, 0]
+        out[of[head], k] = (full & mask).view(np.int64)
+    return out
+
+
+def _sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of each text's shingle set, sorted; a text of fewer words, none included, has the one shingle of all its words."""
+    w = Words(texts, SPACE_WORDS)
+    h, ok = w.shingles(words)
+    h, of = h[ok], w.doc[ok]
+    short = np.flatnonzero(w.counts < words)
+    whole = [int(mix(w.hash[a : a + n] + np.arange(1, n + 1, dtype=np.uint64)).sum()) & (2**64 - 1) for a, n in zip(w.first[short], w.counts[short])]
+    h, of = np.concatenate([h, np.array(whole, np.uint64)]), np.concatenate([of, short])
+    by = np.lexsort((h, of))
+    h, of = h[by], of[by]
+    new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])) if len(h) else np.zeros(0, bool)
+    return of[new], h[new]
+
+
+def similarities(xs: list[bytes], ys: list[bytes], words: int = SHINGLE) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of each two texts; texts without words are equal to one another."""
+    (i, g), (j, h) = _sets(xs, words), _sets(ys, words)
+    of, every = np.concatenate([i, j]), np.concatenate([g, h])
+    by = np.lexsort((every, of))
+    of, every = of[by], every[by]
+    both = np.bincount(of[1:][(of[1:] == of[:-1]) & (every[1:] == every[:-1])], minlength=len(xs))
+    return both / (np.bincount(of, minlength=len(xs)) - both)
+
+
+def verified(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of keys t whose texts are similar."""
+    some = maybe_in(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "t")
+    texts = cut(texts.where(some(F.col("t"))).groupBy("t").agg(F.any_value("text").alias("text")))
+    both = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, y in rows(batches, "y"):
+            x = text_bytes(batch.column(2))
+            for p, q in chunked(x):
+                ok = np.flatnonzero(similarities(x[p:q], y[p:q], words) >= least) + p
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _joined(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """(t, root) of the classes that similar pairs (a, b, n) connect. Each text's pair of the most tables is looked at first, then those between classes."""
+    first = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    good = cut(verified(texts, first, words, least))
+    roots = cut(connected(good, "a", "b"))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    rest = pairs.select("a", "b").join(first.withColumnRenamed("b", "f"), "a").where("b <> f").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = cut(rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"))
+    return connected(good.unionByName(verified(texts, rest, words, least)), "a", "b")
+
+
+def classes(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, tables: int = TABLES, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, t, root) of every row with an id: t is the 64-bit hash of its text, root that of one text a class. Texts of a class are linked by verified near pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows(batches):
+            fps = shingle_fingerprints(texts, words, tables)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, tables, dtype=np.int32)), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc", "t", "fps"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    known = lean(docs).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("t"), text.alias("text")).where("doc is not null")
+    each = cut(known.mapInArrow(run, "doc long, t long, fps array<long>"))
+    fps = each.groupBy("t").agg(F.any_value("fps").alias("fps")).select("t", F.posexplode("fps").alias("kind", "fp"))
+    first = cut(fps.groupBy("kind", "fp").agg(F.min("t").alias("low"), F.max("t").alias("most")))
+    equal = fps.join(first.where("low < most"), ["kind", "fp"]).where("t <> low").select(F.col("t").alias("a"), F.col("low").alias("b"))
+    low = lambda c: first.select("kind", F.col("fp").alias(c), F.col("low").alias(f"t{c}"))
+    near = links(first, radius, "kind", TABLE_BITS).join(low("a"), ["kind", "a"]).join(low("b"), ["kind", "b"]).select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    pairs = cut(equal.unionByName(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")))
+    roots = _joined(known.select("t", "text"), pairs, words, least).withColumnRenamed("node", "t")
+    return each.select("doc", "t").join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+
+
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """Of each component, the row with the smallest id; all columns. Rows without an id stay."""
-    found = near_duplicates(docs, **kw)
-    drop = found.where("doc is not null and doc <> component").select(F.col("doc").alias("__drop")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["__drop"], "left_anti")
-    twice = found.where("doc is not null").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("__twice"))
-    again = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti").unionByName(again)
+    """Of each class of near-duplicates, the row with the smallest id, of equal ids that with the least hash of its text; all columns.
+
+    Rows without an id stay. Of rows that agree in id and text one stays.
+    """
+    found = cut(classes(docs, **kw))
+    best = found.groupBy("root").agg(F.min(F.struct("doc", "t")).alias("w"))
+    doc, t, some, extra = free(docs, "__doc", "__t", "__some", "__extra")
+    each = found.groupBy("doc", "t", "root").agg(F.count("*").alias("n"))
+    lost = each.join(best, "root").select(F.col("doc").alias(doc), F.col("t").alias(t), (F.struct("doc", "t") != F.col("w")).alias("lost"), "n")
+    lost = cut(lost.where("lost or n > 1").select(doc, t, F.col("lost").alias(extra)))
+    ours = docs.withColumn(some, F.coalesce(maybe_in(lost, doc)(F.col("doc_id")), F.lit(False)) & F.col("doc_id").isNotNull())
+    held = ours.where(F.col(some)).withColumns({doc: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}).join(lost, [doc, t], "left")
+    once = held.where(~F.col(extra)).dropDuplicates([doc, t])
+    return ours.where(~F.col(some)).select(*docs.columns).unionByName(held.where(F.col(extra).isNull()).select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

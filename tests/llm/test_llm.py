@@ -109,11 +109,68 @@ def test_overfull_shard_is_dealt(spark, monkeypatch):
     x = np.unique(rng.integers(0, 1 << 12, 600))  # one dense cluster
     df = spark.createDataFrame([(int(v),) for v in x], "fp long")
     monkeypatch.setattr(simhash, "TASK_ROWS", 50)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 300)
     got = {(r.node, r.root) for r in components.connected(simhash.links(df), "a", "b").collect()}
     label = components_of(len(x), [(i, j) for i in range(len(x)) for j in range(i) if int(x[i] ^ x[j]).bit_count() <= 3])
     assert got == {(int(v), int(x[c])) for v, c in zip(x, label) if label.count(c) > 1}
 
 
+def test_near_pairs_in_a_shard():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    y = x[:900].copy()
+    for _ in range(3):
+        y ^= np.uint64(1) << rng.integers(0, 64, len(y), dtype=np.uint64)
+    own, rest = np.unique(np.concatenate([x[:2000], y[:600]])), np.unique(np.concatenate([x[2000:], y[600:]]))
+    a, b = simhash._near(own, rest, 3)
+    assert (np.bitwise_count(a ^ b) <= 3).all()
+    both = np.concatenate([own, rest])
+    place = {int(v): i for i, v in enumerate(both)}
+    near = np.argwhere(np.bitwise_count(own[:, None] ^ both[None]) <= 3)
+    want = components_of(len(both), [(i, j) for i, j in near if i != j])
+    assert components_of(len(both), [(place[int(i)], place[int(j)]) for i, j in zip(a, b)]) == want
+
+
+def test_keep_one_by_row(spark):
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = say(60), say(60), say(200), say(80)
+    near, far = c.split(), d.split()
+    near[100] = "other"
+    far[20] = far[40] = far[60] = "other"
+    rows = [(3, a), (5, a), (5, b), (7, c), (8, " ".join(near)), (9, d), (10, " ".join(far)), (11, None), (12, ""), (None, a), (13, b.upper()), (5, b), (14, "x y"), (15, "x y"), (16, "x z")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, __doc int, __t int, __some int, __extra int").repartition(3)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(i), t or "") for i, t in [(3, a), (5, b), (7, c), (9, d), (10, " ".join(far)), (11, ""), (None, a), (14, "x y"), (16, "x z")])
+    sh = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    left, right = [c, d, "", "x y", "x y z x y z x", b, "x y"], [" ".join(near), " ".join(far), " ", "x z", "z x y z x y", b.upper(), "y x"]
+    got = simhash.similarities([t.encode() for t in left], [t.encode() for t in right])
+    assert np.allclose(got, [len(sh(x) & sh(y)) / len(sh(x) | sh(y)) for x, y in zip(left, right)]) and got[0] >= 0.8 > got[1]
+
+
+def test_shingle_fingerprints():
+    text = " ".join(map(str, range(3000))).encode()
+    h = simhash.shingle_fingerprints([b"a b c d e f", b"", b"x y", text])
+    assert h.shape == (4, simhash.TABLES) and not h[1].any() and h[0].any() and h[2].any() and (h >> simhash.TABLE_BITS == 0).all()
+    g = simhash.mix(simhash.Words([text], simhash.SPACE_WORDS).shingles(5)[0][:2996] + np.uint64(0x9E3779B97F4A7C15))
+    assert int(h[3, 0]) == sum(1 << b for b in range(simhash.TABLE_BITS) if 2 * int((g >> np.uint64(b) & np.uint64(1)).sum()) > 2996)
+
+
+def test_near_copies_are_found(spark):
+    """Of 300 pairs with one change in 100 to 300 words, or two in 200 to 300, nearly all are one class."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 300))]
+        v = list(w)
+        for _ in range(1 + (len(w) > 200)):
+            v[rng.randrange(len(v))] = "other"
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} >= {2 * i for i in range(300)} and len(kept) <= 300 + 30, len(kept)
+
+
 def test_language(spark, docs, rows, nothing):
     model = langid.fit(docs)
     got = {(r.doc_id, r.text): (r["__lang"], r["__score"]) for r in langid.identify(docs, model).collect()}
@@ -121,6 +178,7 @@ def test_language(spark, docs, rows, nothing):
         name, score = got[i, t]
         assert 0 <= score <= 1
         assert name == ("und" if not t or t[0] == "1" else "fr" if "é" in t or "à" in t or "ç" in t else "en"), (i, t)
+    assert [n for n, _ in zip(*model.predict(["\u00bd \u00b2".encode(), "\u2167 12".encode(), "a".encode()]))][:2] == ["und", "und"]
     assert langid.fit(nothing) is None and langid.identify(nothing, None).count() == 0
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and {r[0] for r in rows} - {r.doc_id for r in kept.collect()} == {62, 63, 64}
