@@ -12,7 +12,6 @@ Null texts and texts without a letter are ``und`` with score 0; so is all if no
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,6 @@ from .common import lean, rows
 PER_LANG, SAMPLE_ROWS, LANDMARKS, MAX_LANDMARKS = 200, 4096, 24, 512
 RIDGE = 1e-3
 BATCH = 128
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def spectrum(text: bytes, order: int = 4) -> list[np.ndarray]:
@@ -90,7 +88,7 @@ class Model:
             f = self._kernel([spectrum(t) for t in part]) @ self.coef
             best = f.argmax(axis=1)
             for i, t in enumerate(part):
-                if _LETTER.search(t.decode("utf-8", "replace")):
+                if any(map(str.isalpha, t.decode("utf-8", "replace"))):
                     names.append(self.langs[best[i]])
                     scores[a + i] = min(1.0, max(0.0, round(float(f[i, best[i]]), 6)))
                 else:
