@@ -3,24 +3,30 @@
 A shard is a run of documents of one input partition. Its words become 64-bit hashes, documents
 are kept apart by sentinels, and prefix doubling sorts all suffixes by as many words as the
 longest test item has. Every suffix of every test item is then searched by binary search, word
-by word, which gives its longest verbatim match and the range of all its places.
+by word, which gives its longest verbatim match and the range of all its places; where the match is at
+least as long as a window, its places are hits. ``longest_matches`` takes the longest over all shards.
 
-A document is one row of one shard, so there is no shuffle. The test items go to the executors in
-blocks of at most ``BLOCK_BYTES``; more blocks make more passes over the rows, one after another.
+A document is one row of one shard, so there is no shuffle. The test items are written in blocks of about ``BLOCK_BYTES`` to the
+shared folder, which tasks read one after another for each shard: one pass over the documents, and memory for one block, whatever the test items' size.
+
+Null and empty texts have no words and no hits. Items without an id or a word are no items; several rows of one id are one item. Repeated rows give a row
+each; an empty table gives none. A text is handled whole by one task, which takes some 60 bytes a byte of a text of over a mebibyte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Words, lean, rows
+from .common import ALNUM_WORDS, Words, free, lean, rows, scratch, text_bytes
+from .files import get, put
 
 WINDOW = 13
 #: UTF-8 bytes of test items that are sent to the executors at once.
@@ -91,14 +97,11 @@ def _bound(seq, order, lo, hi, j, word, upper: bool):
         hi[open_] = np.where(right, hi[open_], mid)
 
 
-def search(seq: np.ndarray, order: np.ndarray, items: Items, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(length, lo, hi) of each test suffix's longest match, and hits: (suffix, lo, hi) of windows that occur.
-
-    Unless ``whole``, suffixes that start no window end at once, and the others at their window's end.
-    """
+def search(seq: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length, lo, hi) of each test suffix's longest match, and hits: (suffix, lo, hi) of windows that occur."""
     m = len(items.hash)
     length, first, last = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
-    live = np.arange(m) if whole else np.flatnonzero(items.window)
+    live = np.arange(m)
     lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(seq))
     hits, j = [], 0
     while len(live):
@@ -110,7 +113,7 @@ def search(seq: np.ndarray, order: np.ndarray, items: Items, whole: bool = False
         at = items.window[live] == j
         if at.any():
             hits.append(np.stack([live[at], lo[at], hi[at]]))
-        more = (live + j < items.stop[live]) & (whole | ~at)
+        more = live + j < items.stop[live]
         live, lo, hi = live[more], lo[more], hi[more]
     return length, first, last, np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), np.int64)
 
@@ -136,90 +139,105 @@ class Shard:
         self.order = suffix_array(self.seq, depth)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    for batch, texts in rows(batches, "__text"):
-        shard = Shard(texts, items.depth)
-        _, _, _, (which, lo, hi) = search(shard.seq, shard.order, items)
-        hit = np.zeros(len(shard.seq) + 1, np.int64)
-        found: list[set] = [set() for _ in texts]
-        if len(which):
-            k, slot = _spread(lo, hi)
-            pos = shard.order[slot]
-            np.add.at(hit, pos, 1)
-            np.add.at(hit, pos + items.window[which[k]], -1)
-            for d, i in np.unique(np.stack([shard.doc[pos], items.item[which[k]]]), axis=1).T.tolist():
-                found[d].add(items.ids[i])
-        inside = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
-        of = shard.doc[inside]
-        place = inside - shard.base[of]
-        ends = np.searchsorted(of, np.arange(len(texts) + 1))
-        index = {f: i for i, f in enumerate(batch.schema.names)}
-        old_hits, old_items = batch.column(index["__hits"]).to_pylist(), batch.column(index["__items"]).to_pylist()
-        new_hits = []
-        for d in range(len(texts)):
-            mine = place[ends[d] : ends[d + 1]]
-            if old_hits[d]:
-                mine = np.union1d(mine, np.frombuffer(old_hits[d], np.int64))
-                found[d] |= set(old_items[d])
-            new_hits.append(mine.astype(np.int64).tobytes())
-        new = {"__n": pa.array(shard.words.counts), "__hits": pa.array(new_hits, pa.binary()), "__items": pa.array([sorted(x) for x in found], pa.list_(pa.string()))}
-        yield pa.RecordBatch.from_arrays([new.get(f, batch.column(i)) for f, i in index.items()], names=list(index))
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    known = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    size = known.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for b in range(n):
-        part = known if n == 1 else known.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        yield [(r.id, r.text.encode()) for r in part.orderBy("id", "text").collect()]
+@lru_cache(2)
+def _load(uri: str) -> Items:
+    return pickle.loads(get(uri))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All rows and columns, with ``__n`` (words), ``__hits`` (places of words that some test window covers, as 64-bit integers) and ``__items`` (ids).
-
-    Null and empty texts have no words. Items without an id or a word are no items; several rows of one id are one item.
-    """
-    out = lean(docs).withColumns({"__text": F.col(text_col).cast("string"), "__n": F.lit(0).cast("long"), "__hits": F.lit(b"").cast("binary"), "__items": F.array().cast("array<string>")})
-    blocks = _blocks(benchmark, item_col, item_text)
-    for block in chain([next(blocks, [])], blocks):
-        items = docs.sparkSession.sparkContext.broadcast(Items(block, window))
-        out = out.mapInArrow(lambda batches, items=items: _scan(batches, items.value), out.schema)
-    return out.drop("__text")
+def _blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> tuple[list[str], int]:
+    """Files of the test items in blocks of about ``BLOCK_BYTES``, and the words of the longest item."""
+    known = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    size = known.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    folder, most = scratch(benchmark.sparkSession, "items"), BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        k, held, room, files = TaskContext.get().partitionId(), [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            items = Items(held, window)
+            put(uri := f"{folder}/{k:06d}-{files:06d}", pickle.dumps(items))
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([items.depth])], names=["uri", "depth"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
+                held.append((i, t))
+                room += len(t) + 1
+                if room >= most:
+                    yield flush()
+                    held, room, files = [], 0, files + 1
+        if held:
+            yield flush()
+
+    dealt = known.repartition(max(1, -(-size // BLOCK_BYTES)), F.xxhash64("id", "text"))
+    found = dealt.mapInArrow(run, "uri string, depth long").collect()  # a row a block
+    return sorted(r.uri for r in found), max((r.depth for r in found), default=0)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", names: tuple[str, str, str] = ("__n", "__hits", "__items")) -> DataFrame:
+    """All rows and columns, with words, places of words that some test window covers (as 64-bit integers) and items' ids in columns of these ``names`` (which replace the table's own)."""
+    (text,) = free(docs, "__text")
+    n, hits, ids = names
+    out = lean(docs).withColumns({text: F.col(text_col).cast("string"), n: F.lit(0).cast("long"), hits: F.lit(b"").cast("binary"), ids: F.array().cast("array<string>")})
+    blocks, depth = _blocks(benchmark, window, item_col, item_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows(batches, text):
+            shard = Shard(texts, depth)
+            hit = np.zeros(len(shard.seq) + 1, np.int64)
+            found: list[set] = [set() for _ in texts]
+            for uri in blocks:
+                items = _load(uri)
+                _, _, _, (which, lo, hi) = search(shard.seq, shard.order, items)
+                if len(which):
+                    k, slot = _spread(lo, hi)
+                    pos = shard.order[slot]
+                    np.add.at(hit, pos, 1)
+                    np.add.at(hit, pos + items.window[which[k]], -1)
+                    for d, i in np.unique(np.stack([shard.doc[pos], items.item[which[k]]]), axis=1).T.tolist():
+                        found[d].add(items.ids[i])
+            inside = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+            of = shard.doc[inside]
+            place = (inside - shard.base[of]).astype(np.int64)
+            ends = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+            new = {n: pa.array(shard.words.counts), hits: pa.array([place[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), ids: pa.array([sorted(x) for x in found], pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([new.get(f, batch.column(i)) for i, f in enumerate(batch.schema.names)], names=batch.schema.names)
+
+    return out.mapInArrow(run, out.schema).drop(text)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
-    """item_id, item_word, length, doc_id, doc_word: the longest verbatim matches of test suffixes of ``least`` words or more in each shard, with all their places."""
-    out = None
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"))
-    for block in _blocks(benchmark, "item_id", "text"):
-        items = docs.sparkSession.sparkContext.broadcast(Items(block, WINDOW))
-
-        def run(batches, items=items):
-            it = items.value
-            begin = np.searchsorted(it.item, it.item)
-            for batch, texts in rows(batches, "__text"):
-                shard = Shard(texts, it.depth)
-                length, lo, hi, _ = search(shard.seq, shard.order, it, whole=True)
+    """item_id, item_word, length, doc_id, doc_word: the longest verbatim match of each test suffix in all documents, if it is of ``least`` words or more, with all its places."""
+    rows_in = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks, depth = _blocks(benchmark, WINDOW, "item_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in rows(batches):
+            shard = Shard(texts, depth)
+            for it in map(_load, blocks):
+                begin = np.searchsorted(it.item, it.item)
+                length, lo, hi, _ = search(shard.seq, shard.order, it)
                 sel = np.flatnonzero(length >= least)
                 k, slot = _spread(lo[sel], hi[sel])
                 pos, q = shard.order[slot], sel[k]
                 doc = shard.doc[pos]
                 yield pa.RecordBatch.from_arrays([pa.array([it.ids[i] for i in it.item[q]], pa.string()), pa.array(q - begin[q]), pa.array(length[q]), batch.column(0).take(pa.array(doc)), pa.array(pos - shard.base[doc])], names=["item_id", "item_word", "length", "doc_id", "doc_word"])
 
-        part = rows_in.mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "item_id string, item_word long, length long, doc_id long, doc_word long")
+    each = rows_in.mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long")
+    best = each.groupBy("item_id", "item_word").agg(F.max("length").alias("length"))
+    return each.join(best, ["item_id", "item_word", "length"]).select(each.columns)
 
 
-def contaminated(n_hit="__n_hit", n_words="__n"):
-    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+def contaminated(n_hit, n_words):
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows whose words are not covered by test windows to a twentieth or more."""
-    c = contamination(docs, benchmark, window).withColumn("__n_hit", F.expr("octet_length(__hits) div 8"))
-    return c.where(~contaminated()).select(*docs.columns)
+    n, hits, items = free(docs, "__n", "__hits", "__items")
+    c = contamination(docs, benchmark, window, names=(n, hits, items))
+    return c.where(~contaminated((F.octet_length(hits) / 8).cast("long"), F.col(n))).select(*docs.columns)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -227,7 +245,7 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     c = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     c = c.withColumn("__n_hit", F.expr("octet_length(__hits) div 8"))
-    return c.select("doc_id", F.col("__n").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("__items")), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    return c.select("doc_id", F.col("__n").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("__items")), 256).alias("items_sha256"), contaminated(F.col("__n_hit"), F.col("__n")).alias("contaminated"))
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:

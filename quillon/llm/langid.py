@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, rows
+from .common import free, lean, rows
 
 #: Labelled rows for fitting: per language and in all. Landmarks per language and in all.
 PER_LANG, SAMPLE_ROWS, LANDMARKS, MAX_LANDMARKS = 200, 4096, 24, 512
@@ -111,28 +111,31 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model | None:
     return Model([(t.encode(), lang) for _, _, lang, t in sample]) if sample else None
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All rows and columns, with ``__lang`` and ``__score``."""
-    out = lean(docs).withColumns({"__text": F.col(text_col).cast("string"), "__lang": F.lit("und").cast("string"), "__score": F.lit(0.0).cast("double")})
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
+    """All rows and columns, with language and score in columns of these ``names`` (which replace the table's own)."""
+    (text,) = free(docs, "__text")
+    lang, score = names
+    out = lean(docs).withColumns({text: F.col(text_col).cast("string"), lang: F.lit("und").cast("string"), score: F.lit(0.0).cast("double")})
     if model is None:
-        return out.drop("__text")
+        return out.drop(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in rows(batches, "__text"):
-            names, scores = shared.value.predict(texts)
-            new = {"__lang": pa.array(names, pa.string()), "__score": pa.array(scores)}
+        for batch, texts in rows(batches, text):
+            found, scores = shared.value.predict(texts)
+            new = {lang: pa.array(found, pa.string()), score: pa.array(scores)}
             yield pa.RecordBatch.from_arrays([new.get(f, batch.column(i)) for i, f in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    return out.mapInArrow(run, out.schema).drop("__text")
+    return out.mapInArrow(run, out.schema).drop(text)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """The rows whose text has a language at a score of ``least`` or more; all rows if nothing can be learned."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a language, at any score; if no row has a label to learn from, those with a letter."""
+    lang, score = free(docs, "__lang", "__score")
     model = fit(docs)
     if model is None:
-        return docs
-    return identify(docs, model).where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    return identify(docs, model, names=(lang, score)).where(F.col(lang) != "und").select(*docs.columns)
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:

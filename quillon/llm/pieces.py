@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, rows, text_bytes
+from .common import free, lean, rows, text_bytes
 from .decontaminate import _bound, _spread, stable_order, suffix_array
 
 MARK = "▁"
@@ -166,19 +166,20 @@ class Vocabulary:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """All rows and columns, with ``__ids`` (32-bit little-endian ids) and, if asked for, ``__decoded`` (their text)."""
-    out = lean(docs).withColumns({"__text": F.col(text_col).cast("string"), "__ids": F.lit(b"").cast("binary")} | ({"__decoded": F.lit("").cast("string")} if decoded else {}))
+    """All rows and columns, with ``__ids`` (32-bit little-endian ids) and, if asked for, ``__decoded`` (their text); these replace the table's own."""
+    (text,) = free(docs, "__text")
+    out = lean(docs).withColumns({text: F.col(text_col).cast("string"), "__ids": F.lit(b"").cast("binary")} | ({"__decoded": F.lit("").cast("string")} if decoded else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(path)
-        for batch, texts in rows(batches, "__text", BATCH_BYTES):
+        for batch, texts in rows(batches, text, BATCH_BYTES):
             ids = v.encode(texts)
             new = {"__ids": pa.array(ids, pa.binary())}
             if decoded:
                 new["__decoded"] = pa.array([v.decode(x).decode("utf-8", "replace") for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([new.get(f, batch.column(i)) for i, f in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    return out.mapInArrow(run, out.schema).drop("__text")
+    return out.mapInArrow(run, out.schema).drop(text)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "__ids") -> DataFrame:

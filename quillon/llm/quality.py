@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, lean, mix, rows
+from .common import SPACE_WORDS, Words, free, lean, mix, rows
 from .langid import held_out
 
 #: Labelled rows a class that training takes at most.
@@ -111,17 +111,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     return Model([t.encode() for *_, t in sample], np.array([y for _, y, _ in sample], int))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows and columns, with ``__score``: how likely the label is 1."""
-    out = lean(docs).withColumns({"__text": F.col(text_col).cast("string"), "__score": F.lit(0.0).cast("double")})
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
+    """All rows and columns, with how likely the label is 1 in a column ``name`` (which replaces the table's own)."""
+    (text,) = free(docs, "__text")
+    out = lean(docs).withColumns({text: F.col(text_col).cast("string"), name: F.lit(0.0).cast("double")})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in rows(batches, "__text"):
-            new = {"__score": pa.array(np.round(shared.value.predict(texts), 9))}
+        for batch, texts in rows(batches, text):
+            new = {name: pa.array(np.round(shared.value.predict(texts), 9))}
             yield pa.RecordBatch.from_arrays([new.get(f, batch.column(i)) for i, f in enumerate(batch.schema.names)], names=batch.schema.names)
 
-    return out.mapInArrow(run, out.schema).drop("__text")
+    return out.mapInArrow(run, out.schema).drop(text)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

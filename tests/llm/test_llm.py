@@ -214,6 +214,45 @@ def test_longest_matches(spark, docs, rows):
     assert (1, n, 6, 0) in got if n >= 13 else not got
 
 
+def test_longest_matches_over_all_shards(spark):
+    w = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(w[:40]))], "item_id long, text string")
+    texts = [(1, "a " + " ".join(w[:15])), (2, "b c " + " ".join(w[:20])), (3, " ".join(w[5:60])), (4, " ".join(w[:20]) + " d")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4, "doc_id")
+    got = {(r.item_word, r.length, r.doc_id, r.doc_word) for r in decontaminate.longest_matches(docs, bench).collect()}
+    text = {i: t.split() for i, t in texts}
+    want = set()
+    for k in range(40):
+        found = {}
+        for d, t in text.items():
+            for p in range(len(t)):
+                n = 0
+                while k + n < 40 and p + n < len(t) and t[p + n] == w[k + n]:
+                    n += 1
+                found[d, p] = n
+        best = max(found.values())
+        if best >= 13:
+            want |= {(k, best, d, p) for (d, p), n in found.items() if n == best}
+    assert got == want
+
+
+NAMES = "__text __n __n_hit __hits __items spans __spans __places __words __repeated __doc __some __t __extra __lang __score".split()
+
+
+def test_clashing_names(spark, rows):
+    """Operators that return the table's columns leave those alone that have names they use inside."""
+    docs = spark.createDataFrame([(r[0], r[1], r[2], len(r[1] or ""), *[f"{k}{n}" for k in range(len(NAMES))]) for n, r in enumerate(rows)], f"doc_id long, text string, lang string, n_chars long, {', '.join(f'{c} string' for c in NAMES)}")
+    bench = spark.createDataFrame([(1, " ".join(rows[2][1].split()[:20]))], "item_id long, text string")
+    by = {r[NAMES[0]]: r.asDict() for r in docs.collect()}
+    for f in (langid.keep_identified, simhash.keep_one, passages.cut_repeats, lambda d: decontaminate.drop_contaminated(d, bench)):
+        out = f(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert {k: v for k, v in r.asDict().items() if k not in ("text", "n_chars")} == {k: v for k, v in by[r[NAMES[0]]].items() if k not in ("text", "n_chars")}
+    named = langid.identify(docs, None)  # outputs replace columns of their names, others stay
+    assert sorted(named.columns) == sorted(docs.columns) and {r["__text"] for r in named.collect()} == set(by)
+
+
 def test_token_file(spark, docs, rows, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
