@@ -3,17 +3,21 @@
 The texts of a batch are cut where no piece can cross (before a run of word marks), and the distinct
 cuts that the worker has not met are concatenated. A suffix array over them is searched for every
 piece of the vocabulary; the ranges found give edges (start, length, piece), which are sorted by
-position. Relaxation then joins symbols along edges, in every cut the edge of the best score first
-and the leftmost among equals, until no edge joins two neighbours. This is the merge order
+position. Cuts are parted once more where no edge crosses. Relaxation then joins symbols along edges, in every part the edge of the best score first
+and the leftmost among equals, until no edge joins two neighbours: for all short parts at once, for parts of over ``LONG`` characters with a heap each, in
+n log n steps. This is the merge order
 that a BPE model defines, so ids equal those of the sentencepiece library. Characters without a piece become byte pieces.
 
-Null texts are empty; empty texts have no ids. Decoding gives the text back, but for the word mark U+2581, which decodes to a space.
+Null texts are empty; empty texts have no ids. Repeated rows give a row each, an empty table none. A text is handled whole by one task, which takes some
+200 bytes a byte of a text of over a mebibyte. Decoding gives the text back, but for the word mark U+2581, which decodes to a space.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,8 @@ from .decontaminate import _bound, _spread, stable_order, suffix_array
 MARK = "▁"
 #: Distinct cuts that a worker remembers; and bytes of text in a batch.
 MEMO, BATCH_BYTES = 150_000, 1 << 20
+#: Characters of a part that has a heap of its own.
+LONG = 256
 
 
 class Vocabulary:
@@ -96,9 +102,24 @@ class Vocabulary:
             got = np.minimum(np.searchsorted(key, want), len(key) - 1)
             return np.where((end - start < step) & (key[got] == want), piece[got], -1) if len(key) else np.full(len(want), -1)
 
-        last = np.cumsum(size + 1) - 1  # the end of each cut in seq
+        ends = np.cumsum(size + 1) - 1  # the end of each cut in seq
         far = np.int64(1) << 60
-        start, own, out_s, out_o = at, of, [], []
+        edge, long = np.divmod(key, step)
+        wide = long > 1
+        cover = np.cumsum(np.bincount(edge[wide] + 1, minlength=len(seq) + 1)[: len(seq) + 1] - np.bincount(edge[wide] + long[wide], minlength=len(seq) + 1)[: len(seq) + 1])
+        lead = np.append(True, of[1:] != of[:-1]) | (cover[at] == 0) if len(at) else np.zeros(0, bool)
+        part = np.cumsum(lead) - 1
+        begin = at[lead]
+        last = np.minimum(np.append(begin[1:], len(seq)), ends[of[lead]])  # the end of each part
+        start, own, out_s, out_o = at, part, [], []
+        big = np.flatnonzero(last - begin > LONG)
+        if len(big):
+            for b in big.tolist():
+                s = self._heap(int(begin[b]), int(last[b]), edge, long, piece)
+                out_s.append(s)
+                out_o.append(np.full(len(s), b))
+            few = ~np.isin(own, big)
+            start, own = start[few], own[few]
 
         def pairs(s, o, i):
             """Priority of joining symbol i and the next: the piece's rank, then the place."""
@@ -136,6 +157,7 @@ class Vocabulary:
         end = np.append(s[1:], 0)
         tail = np.append(o[1:] != o[:-1], True) if len(o) else np.zeros(0, bool)
         end[tail] = last[o[tail]]
+        o = of[lead][o] if len(o) else o
         p = find(s, end)
         ids = np.where(p >= 0, self.ids[p], -1)
         lone = np.flatnonzero(ids < 0)
@@ -151,6 +173,44 @@ class Vocabulary:
         for c, a, b in zip(cuts, ends, ends[1:]):
             self.memo[c] = raw[4 * a : 4 * b]
 
+    def _heap(self, begin: int, end: int, edge: np.ndarray, long: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Starts of the symbols that relaxation leaves of [begin, end); edges are sorted by start."""
+        i, j = np.searchsorted(edge, [begin, end])
+        n = end - begin
+        first = array("q", np.searchsorted(edge[i:j], np.arange(begin, end + 1)).astype(np.int64).tobytes())
+        size, rank = long[i:j].astype(np.uint8).tobytes(), array("q", self.rank[piece[i:j]].tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))  # neighbours; n ends
+        bits = n.bit_length()
+        step = self.depth + 1
+
+        def offer(s: int) -> int:
+            """Rank, place and length of joining the symbol at s and the next; -1: no edge."""
+            m = after[s]
+            if m >= n:
+                return -1
+            wide = after[m] - s
+            k = size.find(wide, first[s], first[s + 1]) if wide < step else -1
+            return (rank[k] << bits | s) * step + wide if k >= 0 else -1
+
+        heap = [x for x in map(offer, range(n)) if x >= 0]
+        heapq.heapify(heap)
+        while heap:
+            x, wide = divmod(heapq.heappop(heap), step)
+            s = x & ((1 << bits) - 1)
+            m = after[s]
+            if m < 0 or m >= n or after[m] - s != wide:  # joined meanwhile
+                continue
+            e = after[m]
+            after[s], after[m] = e, -1
+            if e < n:
+                before[e] = s
+            if (y := offer(s)) >= 0:
+                heapq.heappush(heap, y)
+            if before[s] >= 0 and (y := offer(before[s])) >= 0:
+                heapq.heappush(heap, y)
+        left = np.frombuffer(after, np.int64)
+        return begin + np.flatnonzero(left >= 0)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [re.findall(f"{MARK}+[^{MARK}]*", MARK + t.decode("utf-8", "replace").replace(" ", MARK)) if t else [] for t in texts]
@@ -208,6 +268,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, decoded_sha256, exact of every whole text."""
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path())
 
 

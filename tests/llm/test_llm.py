@@ -445,6 +445,19 @@ def test_pieces(spark, docs, rows):
         assert np.frombuffer(ids, "<i4").tolist() == sp.encode(t) and v.decode(ids).decode() == t
 
 
+@pytest.mark.parametrize("long", [256, 8])
+def test_pieces_of_long_runs(monkeypatch, long):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "LONG", long)
+    path, rng = pieces.model_path(), random.Random(long)
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Vocabulary(pieces.model_path())
+    letters = ["abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "a", "\u65e5\u672c\u8a9ea", "ABCabc0123+/="]
+    texts = ["".join(rng.choice(x) for _ in range(n)) for x in letters for n in (1, 7, 300, 3000)]
+    texts += [" ".join(texts[:6]), "the theory of then" * 200, "\u2581".join(texts[:5])]
+    assert [np.frombuffer(x, "<i4").tolist() for x in v.encode([t.encode() for t in texts])] == [sp.encode(t) for t in texts]
+
+
 def test_media(spark, docs, rows, nothing):
     folder = scratch(spark, "m")
     assert media.write(docs, folder) == len(rows)
