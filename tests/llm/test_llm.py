@@ -499,6 +499,92 @@ def test_licenses(spark):
     assert got == {1: (["mit_named", "ccbync4_named", "gpl_free"], ["CC-BY-NC-4.0", "MIT"]), 2: ([], []), 3: ([], []), 4: ([], [])}
 
 
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_notices_as_published(spark, tmp_path):
+    import duckdb
+
+    notices = {"Apache-2.0": [APACHE], "MIT": [MIT, "MIT License", "The MIT License"], "BSD-3-Clause": [BSD + THIRD + AS_IS], "BSD-2-Clause": [BSD + AS_IS], "GPL-3.0-or-later": [GPL], "LGPL-2.1-or-later": [LGPL], "MPL-2.0": [MPL], "GPL-2.0-or-later": [GPL.replace("Foundation, either version 3", "Foundation; either version 2").replace("software:", "software;")]}
+    rows, want = [], {}
+    for name, texts in notices.items():
+        for text in [*texts, f"SPDX-License-Identifier: {name}"]:
+            for mark in ("", "# ", "// ", " * ", ";; "):
+                rows.append((len(rows), "\n".join((mark + x).rstrip() if x else mark.rstrip() for x in text.split("\n")) + "\n\ncode follows here"))
+                want[len(rows) - 1] = name
+    rows += [(len(rows), "We like the MIT license."), (len(rows) + 1, None), (len(rows) + 2, ""), (0, "MIT License")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in licenses.op3_licenses(spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and {(i, found) for i, _, _, found in got} == {(i, want.get(i, "")) for i, _ in rows} | {(0, "MIT")}
+    assert all(k in {x for _, ids in licenses.RULES for x in ids} for k in licenses.SENTENCES)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(licenses.op3_sql()).fetchall()) == sorted(got)
+    con.sql("create or replace view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    assert sorted(con.sql(licenses.op3_sql()).fetchall()) == sorted(tuple(r) for r in licenses.op3_licenses(spark, "/root/testdata/sf0.001").collect())
+
+
 def test_quality(spark, rows, nothing):
     rng = random.Random(1)
     texts = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + ("###" if i % 3 == 0 else "") for _ in range(40))) for i in range(300)] + [(300, None), (301, "")]
