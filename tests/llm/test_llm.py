@@ -388,6 +388,49 @@ def test_near_passages_are_found(spark):
     assert found <= {(2 * i + 1, 2 * i) for i in range(600)} and len(found) >= 597, len(found)
 
 
+def _edited(rng, p: list[str], n: int) -> list[str]:
+    p = list(p)
+    for i in sorted(rng.sample(range(5, len(p) - 5), n), reverse=True):
+        p[i : i + rng.randrange(2)] = ["other%d" % rng.randrange(10**9)] * rng.randrange(1, 2)
+    return p
+
+
+@pytest.mark.parametrize("edits,length,line", [(0, 50, 0), (1, 60, 20), (2, 100, 0), (3, 150, 20)])
+def test_recall_of_passages(spark, edits, length, line):
+    """150 pairs of passages at a similarity of 0.8 or more, some with a line of 20 words that all have: verbatim ones are all found, 95 of 100 of the others."""
+    rng, texts, want = random.Random(edits), [], set()
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    sh = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    common = say(line)
+    for i in range(150):
+        p = say(length)
+        p[10 : 10 + line] = common
+        q = _edited(rng, p, edits)
+        texts += [(2 * i, " ".join(say(20) + p + say(20))), (2 * i + 1, " ".join(say(20) + q + say(20)))]
+        if len(sh(p) & sh(q)) >= 0.8 * len(sh(p) | sh(q)):
+            want.add((2 * i + 1, 2 * i))
+    found = {(r.doc, r.other) for r in passages.repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    assert found <= {(2 * i + 1, 2 * i) for i in range(150)} and len(want) > 100
+    assert len(want & found) >= (1 if not edits else 0.95) * len(want)
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_verbatim_passages_beside_variants(spark, monkeypatch, heavy):
+    rng, rows = random.Random(4), []
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for g in range(12):
+        p = say(60)
+        rows += [(len(rows) + v, g, v, " ".join(say(30) + (_edited(rng, p, 1) if v % 2 else p) + say(30))) for v in range(24)]
+    docs = spark.createDataFrame([(i, t) for i, _, _, t in rows], "doc_id long, text string").repartition(4)
+    if heavy:  # all values are dealt to three tasks
+        values = [r.value for r in passages.windows(passages._known(docs, "doc_id", "text")).select("value").distinct().collect()]
+        monkeypatch.setattr(passages, "_heavy", lambda *a: dict.fromkeys(values, 3))
+    pairs = passages.repeats(docs).select("doc", "other").distinct()
+    assert {r.doc for r in pairs.collect()} >= {i for i, _, v, _ in rows if v and v % 2 == 0}
+    root = {r.node: r.root for r in components.connected(pairs, "doc", "other").collect()}
+    assert len(root) >= 0.98 * len(rows) and all(root.get(i, i - v) == i - v for i, _, v, _ in rows)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_compact_windows(seed):
     rng = np.random.default_rng(seed)
