@@ -61,5 +61,17 @@ def code_text(codes: Column) -> Column:
 
 def offset_codes(codes: Column, sizes: list[int]) -> Column:
     """Tokens that differ between positions: each code plus the sizes of the positions before."""
+    codes = F.when(F.size(codes) == len(sizes), codes).otherwise(F.raise_error(F.concat(F.lit(f"codes of {len(sizes)} positions are wanted, not "), F.size(codes).cast("string"))).cast("array<int>"))
     offsets = F.array(*[F.lit(sum(sizes[:i])) for i in range(len(sizes))])
     return F.zip_with(codes, offsets, lambda c, o: c + o)
+
+
+def tail(x: Column, n: int) -> Column:
+    """The last n places; all if n is 0 or less."""
+    return F.slice(x, F.greatest(F.size(x) - n + 1, F.lit(1)), F.lit(n)) if n > 0 else x
+
+
+def padded(x: Column, n: int, filler: int) -> Column:
+    """The last n places with fillers before them up to n."""
+    last = tail(x, n)
+    return F.concat(F.array_repeat(F.lit(filler).cast("long"), F.lit(n) - F.size(last)), last.cast("array<long>"))

@@ -17,7 +17,7 @@ def earliest(events: DataFrame, user: str, item: str, time: str, row_ord: Column
 
 
 def active_users(events: DataFrame, user: str, least: int) -> DataFrame:
-    """Rows of users with ``least`` rows or more; one pass."""
+    """Rows of users with ``least`` rows or more; counts are added up before they are dealt, so a user of many rows is no single task's."""
     kept = events.groupBy(user).count().where(F.col("count") >= least).select(user)
     return events.join(kept, user, "left_semi")
 

@@ -21,9 +21,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lowest of the nearest centers, and its squared distance."""
-    d = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
-    k = d.argmin(axis=1)
-    return k, d[np.arange(len(x)), k]
+    half = (centers * centers).sum(axis=1)
+    k, d = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for a in range(0, len(x), 4096):  # a batch's products; centers that rounding can't part are measured again
+        part = x[a : a + 4096]
+        s = half[None, :] - 2 * (part @ centers.T)
+        best = s.argmin(axis=1)
+        low = s[np.arange(len(part)), best]
+        tied = np.flatnonzero((s <= (low + 1e-9 * (1 + np.abs(low)))[:, None]).sum(axis=1) > 1)
+        for i in tied:
+            best[i] = ((part[i] - centers) ** 2).sum(axis=1).argmin()
+        k[a : a + 4096], d[a : a + 4096] = best, ((part - centers[best]) ** 2).sum(axis=1)
+    return k, d
 
 
 def residual_codes(rows: DataFrame, key: str, column: str, books: list[np.ndarray], rotation: np.ndarray | None = None, products: list[np.ndarray] | None = None) -> DataFrame:
@@ -84,8 +93,6 @@ def _seeds(rows: DataFrame, key: str, column: str, k: int, salt: int) -> np.ndar
 def train_residual(rows: DataFrame, key: str, column: str, levels: int, clusters: int, rounds: int = 5) -> list[np.ndarray]:
     """A codebook a level, each fitted to what the ones before leave."""
     books: list[np.ndarray] = []
-
-
     for level in range(levels):
         have = list(books)
         books.append(_fit(rows, column, lambda x, have=have: _rest(x, have), _rest(_seeds(rows, key, column, clusters, level), have), rounds))
@@ -151,3 +158,25 @@ def principal(rows: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndar
     top = vectors[:, ::-1][:, :k].T
     top *= np.sign(top[np.arange(k), np.abs(top).argmax(axis=1)])[:, None]
     return mean, top, values[::-1][:k] / values.sum()
+
+
+def unrotated(codes: np.ndarray, products: list[np.ndarray], rotation: np.ndarray) -> np.ndarray:
+    """Codewords of product codes, turned back by the rotation's inverse (its transpose)."""
+    return np.hstack([book[codes[:, i]] for i, book in enumerate(products)]) @ rotation.T
+
+
+def reconstructed(codes: DataFrame, key: str, books: list[np.ndarray], rotation: np.ndarray | None = None, products: list[np.ndarray] | None = None) -> DataFrame:
+    """(key, vector): the sum of the residual codewords and, with products, of the product codewords turned back."""
+    products = products or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                c = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                y = sum(book[c[:, i]] for i, book in enumerate(books))
+                if products:
+                    y = y + unrotated(c[:, len(books) :], products, rotation)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["key", "vector"])
+
+    return codes.select(F.col(key).cast("long").alias("key"), "codes").mapInArrow(run, "key long, vector array<double>")

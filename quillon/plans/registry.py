@@ -15,7 +15,9 @@ from quillon.operators import codes, dataset, neighbors, quantize, sequence_lm,
 from quillon.operators.storage import cut
 from quillon.sources import loose, sinks
 
-MIN_RATING, MIN_ITEMS, BEGIN, PART, ORDER, ALPHA, VOCABULARY, K1, K2 = 10, 5, 1_000_001, 1_000_000, 3, 0.001, 1_000_002, 16, 8
+MIN_RATING, MIN_ITEMS, ORDER, ALPHA, K1, K2 = 10, 5, 3, 0.001, 16, 8
+#: The parting token and the vocabulary of item tokens, in SQL: one and three over the greatest item; two over it is the first token.
+PART, VOCABULARY = (f"(SELECT max(item_idx) + {i} FROM items)" for i in (1, 3))
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -43,13 +45,13 @@ def _events(spark, d) -> DataFrame:
     return e.select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("i"), F.col("l_quantity").alias("rating"), F.unix_timestamp("o_orderdate").alias("ts"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_partkey").alias("ord"))
 
 
-def _kept(spark, d) -> DataFrame:
-    return dataset.active_users(dataset.earliest(_events(spark, d), "u", "i", "ts", F.col("ord")), "u", MIN_ITEMS)
+def _kept(spark, d, events: DataFrame | None = None) -> DataFrame:
+    return dataset.active_users(cut(dataset.earliest(_events(spark, d) if events is None else events, "u", "i", "ts", F.col("ord"))), "u", MIN_ITEMS)  # read twice
 
 
-def _item_ids(spark, d, kept: DataFrame | None = None) -> DataFrame:
+def _item_ids(spark, d, kept: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
     kept = _kept(spark, d) if kept is None else kept
-    first = _events(spark, d).groupBy("i").agg(F.min("ord").alias("first"))
+    first = (_events(spark, d) if events is None else events).groupBy("i").agg(F.min("ord").alias("first"))
     return dataset.dense_ids(first.join(kept.select("i").distinct(), "i", "left_semi"), "item_idx", "first").select("i", "item_idx")
 
 
@@ -59,8 +61,9 @@ def _user_ids(spark, d, kept: DataFrame | None = None) -> DataFrame:
 
 
 def _coded(spark, d) -> DataFrame:
-    kept = cut(_kept(spark, d))  # read three times
-    return kept.join(_item_ids(spark, d, kept), "i").join(_user_ids(spark, d, kept), "u")
+    events = cut(_events(spark, d))  # the join of the two tables, once
+    kept = _kept(spark, d, events)
+    return kept.join(_item_ids(spark, d, kept, events), "i").join(_user_ids(spark, d, kept), "u")
 
 
 def _seq(spark, d) -> DataFrame:
@@ -163,13 +166,21 @@ def ranking_of_popular(spark, d):
 
 # ---- tokens and the n-gram model
 
-_TOK = f"tok AS (SELECT user_idx, [{BEGIN}] || flatten(list_transform(items[1:len(items) - 2], lambda x: [CAST(x AS BIGINT), {PART}])) t FROM seq WHERE len(items) >= 3)"
+_TOK = "tok AS (SELECT user_idx, [sep + 1] || flatten(list_transform(items[1:len(items) - 2], lambda x: [CAST(x AS BIGINT), sep])) t FROM seq, (SELECT CAST(max(item_idx) + 1 AS BIGINT) sep FROM items) z WHERE len(items) >= 3)"
 _GRAM = f"""gram AS (SELECT array_to_string(t[p - n:p - 1], ' ') ctx, t[p] token, CAST(n AS INT) len, count(*) n FROM tok, unnest(range(2, len(t) + 1)) a(p), unnest(range(0, {ORDER})) b(n) WHERE n <= p - 1 GROUP BY ALL)"""
 
 
+def _sizes(seq: DataFrame) -> tuple[int, int, int]:
+    """The parting token, the first token and the vocabulary."""
+    most = seq.agg(F.max(F.array_max("items"))).first()[0]
+    n = 0 if most is None else most + 1
+    return n, n + 1, n + 2
+
+
 def _tokens(spark, d, seq: DataFrame | None = None) -> DataFrame:
-    seq = _seq(spark, d) if seq is None else seq
-    return sequence_lm.streams(seq.where(F.size("items") >= 3), "user_idx", BEGIN, PART)
+    seq = cut(_seq(spark, d)) if seq is None else seq
+    part, begin, _ = _sizes(seq)
+    return sequence_lm.streams(seq.where(F.size("items") >= 3), "user_idx", begin, part)
 
 
 @query(f"WITH {_E}, {_TOK} SELECT user_idx, array_to_string(t, ' ') tokens FROM tok")
@@ -187,15 +198,17 @@ lp AS (SELECT ctx, token, ln((n + {ALPHA}) / (s + {ALPHA} * {VOCABULARY})) lp FR
 SELECT user_idx, round(coalesce(a.lp, b.lp, z.lp, ln({ALPHA} / ((SELECT s FROM tot WHERE ctx = '') + {ALPHA} * {VOCABULARY}))), 6) logp FROM q
 LEFT JOIN lp a ON a.ctx = array_to_string(c, ' ') AND a.token = q.token LEFT JOIN lp b ON b.ctx = CAST(c[2] AS VARCHAR) AND b.token = q.token LEFT JOIN lp z ON z.ctx = '' AND z.token = q.token""")
 def ngram_backoff(spark, d):
-    seq = _seq(spark, d)
-    counts = sequence_lm.ngram_counts(_tokens(spark, d, seq), ORDER)
-    q = seq.where(F.size("items") >= 3).select("user_idx", F.array(F.element_at("items", -3).cast("long"), F.lit(PART).cast("long")).alias("context"), F.element_at("items", -1).cast("long").alias("token"))
-    return sequence_lm.backoff(q, counts, ORDER, ALPHA, VOCABULARY).select("user_idx", F.round("logp", 6).alias("logp"))
+    seq = cut(_seq(spark, d))  # read for its tokens, its counts and its queries
+    part, _, vocabulary = _sizes(seq)
+    counts = cut(sequence_lm.ngram_counts(_tokens(spark, d, seq), ORDER))  # joined once a length
+    q = seq.where(F.size("items") >= 3).select("user_idx", F.array(F.element_at("items", -3).cast("long"), F.lit(part).cast("long")).alias("context"), F.element_at("items", -1).cast("long").alias("token"))
+    return sequence_lm.backoff(q, counts, ORDER, ALPHA, vocabulary).select("user_idx", F.round("logp", 6).alias("logp"))
 
 
 @query()
 def beam_decode(spark, d):
-    seq = _seq(spark, d)
+    seq = cut(_seq(spark, d))
+    part, begin, vocabulary = _sizes(seq)
     counts = sequence_lm.bounded(sequence_lm.ngram_counts(_tokens(spark, d, seq), 2), "n-gram counts")
     table = {(tuple(r.context), r.token): r.n for r in counts}
     totals: dict = {}
@@ -204,7 +217,7 @@ def beam_decode(spark, d):
     items = sequence_lm.bounded(dataset.popularity(seq, _item_ids(spark, d), "item_idx"), "items")
     popular = [r.item_idx for r in sorted(items, key=lambda r: (-r.n, r.item_idx))]
     test = dataset.leave_one_out(seq, "user_idx")[2]
-    return sequence_lm.beam_decode(test, "user_idx", table, totals, {i: (i,) for i in popular}, popular, 2, ALPHA, VOCABULARY, BEGIN, PART, 64, 10).select("user_idx", _J("preds").alias("preds"))
+    return sequence_lm.beam_decode(test, "user_idx", table, totals, {i: (i,) for i in popular}, popular, 2, ALPHA, vocabulary, begin, part, 64, 10).select("user_idx", _J("preds").alias("preds"))
 
 
 # ---- vectors and codes
@@ -280,27 +293,16 @@ def trie_edges(spark, d):
 @query(f"WITH {_V} SELECT round(avg(e1), 6) mse_1, round(avg(e2), 6) mse_2 FROM sid")
 def quantization_error(spark, d):
     b, v = _books(spark, d), _vec(spark, d)
-    one, two = (quantize.residual_codes(v, "vec_id", "x", b[:n]) for n in (1, 2))
-    books = spark.sparkContext.broadcast(b)
-
-    @F.udf("double")
-    def last(x: list, c: list) -> float:
-        return float(((np.array(x) - sum(m[k] for m, k in zip(books.value, c))) ** 2).sum())
-
-    err = v.join(two.select(F.col("key").alias("vec_id"), "codes"), "vec_id").select(last("x", F.slice("codes", 1, 1)).alias("a"), last("x", "codes").alias("b"))
-    del one
-    return err.agg(F.round(F.avg("a"), 6).alias("mse_1"), F.round(F.avg("b"), 6).alias("mse_2"))
+    one, two = (quantize.residual_codes(v, "vec_id", "x", b[:n], np.eye(64), [np.zeros((1, 64))]).select(F.avg("error").alias(f"mse_{n}")) for n in (1, 2))
+    return one.crossJoin(F.broadcast(two)).select(F.round("mse_1", 6).alias("mse_1"), F.round("mse_2", 6).alias("mse_2"))  # one row each
 
 
 _RECON = f"rec AS (SELECT a.vec_id, sum(a.x * y) / (sqrt(sum(a.x * a.x)) * sqrt(sum(y * y))) cosine FROM (SELECT d.vec_id, d.j, d.x, b.x + 0.5 * c.x y FROM dims d JOIN sid USING (vec_id) JOIN dims b ON b.vec_id = k1 AND b.j = d.j JOIN dims c ON c.vec_id = k2 + {K1} AND c.j = d.j) a GROUP BY a.vec_id)"
 
 
 def _reconstructed(spark, d):
-    b = _books(spark, d)
-    table = lambda m: F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in m])
-    book = spark.range(1).select(table(b[0]).alias("b0"), table(b[1]).alias("b1"))
-    x = _vec(spark, d).join(_codes(spark, d), "vec_id").join(F.broadcast(book))
-    return x.withColumn("y", F.zip_with(F.get("b0", F.get("codes", F.lit(0))), F.get("b1", F.get("codes", F.lit(1))), lambda p, q: p + q))
+    y = quantize.reconstructed(_codes(spark, d), "vec_id", _books(spark, d)).select(F.col("key").alias("vec_id"), F.col("vector").alias("y"))
+    return _vec(spark, d).join(y, "vec_id")
 
 
 @query(f"WITH {_V}, {_RECON} SELECT round(avg(cosine), 6) mean, round(quantile_cont(cosine, 0.1), 6) p10, round(quantile_cont(cosine, 0.5), 6) p50, round(quantile_cont(cosine, 0.9), 6) p90 FROM rec")

@@ -6,6 +6,7 @@ import ast
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,15 +21,20 @@ def read_loose(spark: SparkSession, path: str, schema: str, partitions: int | No
     if partitions:
         lines = lines.repartition(partitions)
 
-    @F.udf("string")
-    def literal(line: str) -> str | None:
-        try:
-            return json.dumps(ast.literal_eval(line))
-        except (ValueError, SyntaxError):
-            return None
+    good = F.get_json_object("value", "$").isNotNull()
 
-    text = F.when(F.get_json_object("value", "$").isNotNull(), F.col("value")).otherwise(literal("value"))
-    return lines.withColumn("r", F.from_json(text, schema)).select("row_ord", "r.*")
+    def literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for line in b.column(0).to_pylist():
+                try:
+                    out.append(json.dumps(ast.literal_eval(line)))
+                except (ValueError, SyntaxError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(1)], names=["value", "row_ord"])
+
+    other = lines.where(~F.coalesce(good, F.lit(False))).mapInArrow(literals, "value string, row_ord long")  # only lines that aren't JSON go to Python
+    return lines.where(good).unionByName(other).withColumn("r", F.from_json("value", schema)).select("row_ord", "r.*")
 
 
 class _Rows(InputPartition):
