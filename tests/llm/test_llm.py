@@ -474,6 +474,38 @@ def test_seating():
     assert abs(t.mean() - want) < 0.02 and lm.seat(np.array([1, 500000]), np.ones(2), 0.5, rng)[0] == 1
 
 
+def test_tables_are_drawn_from_their_conditional():
+    """Against the weights of all seatings of five customers, counted one by one."""
+    d, a, rng = 0.3, 0.8, np.random.default_rng(1)
+    weight = {1: {(1,): 1.0}}
+    for c in range(1, 5):  # sizes of tables to weights
+        weight[c + 1] = {}
+        for sizes, w in weight[c].items():
+            for i in range(len(sizes)):
+                key = tuple(sorted((*sizes[:i], sizes[i] + 1, *sizes[i + 1 :])))
+                weight[c + 1][key] = weight[c + 1].get(key, 0) + w * (sizes[i] - d)
+            key = tuple(sorted((*sizes, 1)))
+            weight[c + 1][key] = weight[c + 1].get(key, 0) + w
+    want = np.array([sum(w for s, w in weight[5].items() if len(s) == t) * a**t for t in range(1, 6)])
+    assert np.allclose(np.exp(lm.stirling(8, d)[5, 1:6]) * a ** np.arange(1, 6), want)
+    got = lm.tables(np.full(60000, 5), np.full(60000, a), d, rng)
+    assert np.abs(np.bincount(got, minlength=6)[1:] / 60000 - want / want.sum()).max() < 0.01
+    assert lm.tables(np.array([0, 1, 900]), np.ones(3), d, rng)[:2].tolist() == [0, 1]
+
+
+def test_parent_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    each = rng.integers(1, 5, 200)
+    k, c = rng.integers(0, 50, each.sum()), rng.integers(1, 9, each.sum())
+    state = lm.State(0.4, 0.3, np.bincount(k, c, 50), np.bincount(k, minlength=50).astype(float), float(each.sum()), 200.0, 200)
+    t, n, r = state.draw(each, k, c, rng)
+    made = lm.State(0.4, 0.3, state.customers, np.bincount(k, t, 50), n.sum(), r.sum(), 200)
+    assert abs(made.base(n, r).sum() + made.base(np.zeros(1), np.zeros(1))[0] - 1) < 1e-9 and (t <= c).all() and (r <= n).all() and (t >= 1).all()
+    back = (lm.THETA + 0.4 * made.tables) / (lm.THETA + state.customers)
+    mass = np.bincount(k, c - 0.4 * t, 50) / (lm.THETA + state.customers)
+    assert np.allclose((back + mass)[state.customers > 0], 1)
+
+
 def test_pieces(spark, docs, rows):
     import sentencepiece
 
