@@ -34,7 +34,7 @@ SHARD_ROWS, TASK_ROWS, LEAF_ROWS = 1 << 17, 1 << 19, 256
 #: Fingerprints looked at for a leaf's radius; with MAX_LEVELS this bounds the sample on the driver (a million). Both set the cost, not the result.
 SAMPLE_PER_SHARD, MAX_LEVELS = 32, 15
 #: Fingerprints a text in ``keep_one``, words of a shingle and the least similarity there.
-TABLES, SHINGLE, SIMILARITY = 16, 5, 0.8
+TABLES, SHINGLE, SIMILARITY = 32, 5, 0.8
 #: Bits of each of these: fewer bits find more of the near pairs that a radius of 3 can, and 48 keep chance pairs rare up to 10**11 texts.
 TABLE_BITS = 48
 #: A byte's bits as eight counters of a byte each.
