@@ -35,6 +35,8 @@ SHARD_ROWS, TASK_ROWS, LEAF_ROWS = 1 << 17, 1 << 19, 256
 SAMPLE_PER_SHARD, MAX_LEVELS = 32, 15
 #: Fingerprints a text in ``keep_one``, words of a shingle and the least similarity there.
 TABLES, SHINGLE, SIMILARITY = 32, 5, 0.8
+#: Rounds of one pair a text before the others are looked at; this sets the cost, not the result.
+ROUNDS = 4
 #: Bits of each of these: fewer bits find more of the near pairs that a radius of 3 can, and 48 keep chance pairs rare up to 10**11 texts.
 TABLE_BITS = 48
 #: A byte's bits as eight counters of a byte each.
@@ -278,14 +280,22 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> Da
 
 
 def _joined(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """(t, root) of the classes that similar pairs (a, b, n) connect. Each text's pair of the most tables is looked at first, then those between classes."""
-    first = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    good = cut(verified(texts, first, words, least))
-    roots = cut(connected(good, "a", "b"))
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    rest = pairs.select("a", "b").join(first.withColumnRenamed("b", "f"), "a").where("b <> f").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = cut(rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"))
-    return connected(good.unionByName(verified(texts, rest, words, least)), "a", "b")
+    """(t, root) of the classes that similar pairs (a, b, n) connect.
+
+    Each text's pair of the most tables is looked at, then, ``ROUNDS`` times in all, its next one that is still between classes, then all others between classes.
+    """
+    left, good = pairs, None
+    for _ in range(ROUNDS):
+        first = cut(left.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+        found = verified(texts, first, words, least)
+        good = cut(found if good is None else good.unionByName(found))
+        roots = cut(connected(good, "a", "b"))
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        left = left.join(first.withColumnRenamed("b", "f"), "a").where("b <> f").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        left = cut(left.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "n"))
+        if left.isEmpty():
+            return roots
+    return connected(good.unionByName(verified(texts, left.select("a", "b"), words, least)), "a", "b")
 
 
 def classes(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, tables: int = TABLES, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

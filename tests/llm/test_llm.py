@@ -149,6 +149,24 @@ def test_keep_one_by_row(spark):
     assert np.allclose(got, [len(sh(x) & sh(y)) / len(sh(x) | sh(y)) for x, y in zip(left, right)]) and got[0] >= 0.8 > got[1]
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_pairs_are_verified_in_rounds(spark, monkeypatch, rounds):
+    """Classes are those of all similar candidate pairs, however many rounds come first; most candidates aren't similar."""
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    rng = random.Random(rounds)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(["x", "y"]) if rng.random() < 0.03 else w for w in base) for _ in range(30)]
+    pairs = [(a, b, rng.randrange(1, 9)) for a in range(30) for b in range(a) if rng.random() < 0.4]
+    ok = simhash.similarities([texts[a].encode() for a, _, _ in pairs], [texts[b].encode() for _, b, _ in pairs]) >= 0.8
+    root = list(range(30))
+    for (a, b, _), _ in filter(lambda x: x[1], zip(pairs, ok)):
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    t = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    got = {r.node: r.root for r in simhash._joined(t, spark.createDataFrame(pairs, "a long, b long, n long"), 5, 0.8).collect()}
+    assert ok.any() and not ok.all() and [got.get(i, i) for i in range(30)] == root
+
+
 def test_shingle_fingerprints():
     text = " ".join(map(str, range(3000))).encode()
     h = simhash.shingle_fingerprints([b"a b c d e f", b"", b"x y", text])
