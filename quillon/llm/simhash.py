@@ -35,8 +35,8 @@ SHARD_ROWS, TASK_ROWS, LEAF_ROWS = 1 << 17, 1 << 19, 256
 SAMPLE_PER_SHARD, MAX_LEVELS = 32, 15
 #: Fingerprints a text in ``keep_one``, words of a shingle and the least similarity there.
 TABLES, SHINGLE, SIMILARITY = 32, 5, 0.8
-#: Rounds of one pair a text before the others are looked at; this sets the cost, not the result.
-ROUNDS = 4
+#: Rounds of one pair a text before the others are looked at; this sets the cost, not the result. Each takes its own search of components.
+ROUNDS = 1
 #: Bits of each of these: fewer bits find more of the near pairs that a radius of 3 can, and 48 keep chance pairs rare up to 10**11 texts.
 TABLE_BITS = 48
 #: A byte's bits as eight counters of a byte each.
@@ -265,8 +265,6 @@ def similarities(xs: list[bytes], ys: list[bytes], words: int = SHINGLE) -> np.n
 
 def verified(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of keys t whose texts are similar."""
-    some = maybe_in(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "t")
-    texts = cut(texts.where(some(F.col("t"))).groupBy("t").agg(F.any_value("text").alias("text")))
     both = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,12 +282,14 @@ def _joined(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
 
     Each text's pair of the most tables is looked at, then, ``ROUNDS`` times in all, its next one that is still between classes, then all others between classes.
     """
+    ends = pairs.select(F.col("a").alias("t")).distinct().unionByName(pairs.select(F.col("b").alias("t")).distinct())
+    texts = cut(texts.where(maybe_in(ends, "t")(F.col("t"))).groupBy("t").agg(F.any_value("text").alias("text")))
     left, good = pairs, None
     for _ in range(ROUNDS):
         first = cut(left.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
         found = verified(texts, first, words, least)
         good = cut(found if good is None else good.unionByName(found))
-        roots = cut(connected(good, "a", "b"))
+        roots = connected(good, "a", "b")
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         left = left.join(first.withColumnRenamed("b", "f"), "a").where("b <> f").join(of("a"), "a", "left").join(of("b"), "b", "left")
         left = cut(left.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "n"))
