@@ -193,7 +193,7 @@ def links(distinct: DataFrame, radius: int = 3, kind: str | None = None, bits: i
     def pairs(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()
-        a, b = _near(fp[home], fp[~home], radius, bits)
+        a, b = _near(np.sort(fp[home]), np.sort(fp[~home]), radius, bits)  # the forest depends on the order, which a task run again may change
         return pa.table({"kind": pa.array(np.full(len(a), table.column("kind")[0].as_py(), np.int32)), "a": a.view(np.int64), "b": b.view(np.int64)})
 
     return visits.groupBy("kind", "shard", "part").applyInArrow(pairs, "kind int, a long, b long")

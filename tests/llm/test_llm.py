@@ -695,3 +695,11 @@ def test_pipeline(spark, tmp_path, rows):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     gone = {62, 63, 64, 60, 61, 2}  # no letters, copies, contaminated
     assert set(got) == {r[0] for r in rows} - gone and all(r.exact for r in got.values())
+
+
+def test_links_do_not_depend_on_the_order(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 1 << 62, 60)
+    x = np.unique(np.concatenate([x[i % 60 :][:1] ^ (1 << rng.integers(0, 40, 1)) for i in range(900)] + [x]))
+    got = [sorted(simhash.links(spark.createDataFrame([(int(v),) for v in rng.permutation(x)], "fp long").repartition(n)).collect()) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) > 500
