@@ -95,32 +95,34 @@ class Tree:
         self.leaves += 1
         return self.leaves - 1
 
-    def route(self, x: np.ndarray, radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(shard, index, at home) for each visit. Of two shards that a pair spans, one sees it.
+    def visits(self, x: np.ndarray, radius: int, home: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, indices, at home) of each shard with a visit, one after another, so that only the path to it is in memory. Of two shards that a pair spans, one sees it.
 
         A home row crosses only from inside to outside: its partner there need not come back. Rows that aren't at ``home`` here cross both ways.
         """
         own = np.ones(len(x), bool) if home is None else home
-        leaf, index, home = [], [], []
-        todo = [(self.root, np.arange(len(x)), np.full(len(x), radius), own)]
+        todo = [(self.root, np.arange(len(x), dtype=np.int32), np.full(len(x), radius, np.int8), own)]
         while todo:
             node, i, left, own = todo.pop()
             if not len(i):
                 continue
             if isinstance(node, int):
-                leaf.append(np.full(len(i), node, np.int64))
-                index.append(i)
-                home.append(own)
+                yield node, i, own
                 continue
             level, vantage, mu, near, far = node
-            d = np.bitwise_count((x[i] ^ vantage) & self.masks[level]).astype(np.int64)
+            d = np.bitwise_count((x[i] ^ vantage) & self.masks[level]).astype(np.int8)
             inside = d <= mu
-            cost = np.where(inside, mu + 1 - d, d - mu)
+            cost = np.where(inside, mu + 1 - d, d - mu).astype(np.int8)
             cross = (cost <= left) & (inside | ~own)
             for child, here in ((near, inside), (far, ~inside)):
                 go = here | cross
                 todo.append((child, i[go], np.where(here, left, left - cost)[go], (own & here)[go]))
-        return (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((leaf, np.int64), (index, np.int64), (home, bool)))
+
+    def route(self, x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shard, index, at home) for each visit."""
+        found = list(self.visits(x, radius))
+        leaf = [np.full(len(i), n, np.int64) for n, i, _ in found]
+        return tuple(np.concatenate(v) if v else np.zeros(0, t) for v, t in ((leaf, np.int64), ([i for _, i, _ in found], np.int64), ([h for _, _, h in found], bool)))
 
 
 def _forest(own: np.ndarray, rest: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,11 +149,9 @@ def _near(own: np.ndarray, rest: np.ndarray, radius: int, bits: int = 64) -> tup
         return _forest(own, rest, radius)
     tree = Tree(own, min(16, int(np.ceil(np.log2(len(own) / LEAF_ROWS)))), bits)
     x, out = np.concatenate([own, rest]), []
-    leaf, index, home = tree.route(x, radius, np.arange(len(x)) < len(own))
-    by = np.argsort(leaf, kind="stable")
-    for part in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
-        if (at_home := home[part]).any():
-            out.append(_forest(x[index[part[at_home]]], x[index[part[~at_home]]], radius))
+    for _, i, home in tree.visits(x, radius, np.arange(len(x)) < len(own)):
+        if home.any():
+            out.append(_forest(x[i[home]], x[i[~home]], radius))
     return tuple(np.concatenate(v) for v in zip(*out)) if out else (x[:0], x[:0])
 
 
