@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -132,6 +133,15 @@ def rows(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHU
         texts = text_bytes(batch.column(batch.schema.get_field_index(text)))
         for a, b in chunked(texts, limit):
             yield batch.slice(a, b - a), texts[a:b]
+    batch = texts = None
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
 
 
 #: Bits of a membership filter: 1 MiB to broadcast, whatever the number of ids.

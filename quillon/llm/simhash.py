@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, chunked, cut, free, lean, maybe_in, mix, rows, text_bytes
+from .common import SPACE_WORDS, Words, chunked, cut, free, give_back, lean, maybe_in, mix, rows, text_bytes
 from .components import connected
 
 #: Fingerprints that a shard should hold, that a task takes as its own at most, and that a leaf of its own tree should hold.
@@ -39,6 +39,8 @@ TABLES, SHINGLE, SIMILARITY = 32, 5, 0.8
 ROUNDS = 1
 #: Bits of each of these: fewer bits find more of the near pairs that a radius of 3 can, and 48 keep chance pairs rare up to 10**11 texts.
 TABLE_BITS = 48
+#: Bytes of text that one pass over shingles takes; a longer text is a pass of its own.
+PASS_BYTES = 1 << 18
 #: A byte's bits as eight counters of a byte each.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
 
@@ -194,6 +196,7 @@ def links(distinct: DataFrame, radius: int = 3, kind: str | None = None, bits: i
         fp = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()
         a, b = _near(np.sort(fp[home]), np.sort(fp[~home]), radius, bits)  # the forest depends on the order, which a task run again may change
+        give_back()
         return pa.table({"kind": pa.array(np.full(len(a), table.column("kind")[0].as_py(), np.int32)), "a": a.view(np.int64), "b": b.view(np.int64)})
 
     return visits.groupBy("kind", "shard", "part").applyInArrow(pairs, "kind int, a long, b long")
@@ -270,7 +273,7 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, y in rows(batches, "y"):
             x = text_bytes(batch.column(2))
-            for p, q in chunked(x):
+            for p, q in chunked(x, PASS_BYTES):
                 ok = np.flatnonzero(similarities(x[p:q], y[p:q], words) >= least) + p
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
@@ -302,7 +305,7 @@ def classes(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, ta
     """(doc, t, root) of every row with an id: t is the 64-bit hash of its text, root that of one text a class. Texts of a class are linked by verified near pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in rows(batches):
+        for batch, texts in rows(batches, limit=PASS_BYTES):
             fps = shingle_fingerprints(texts, words, tables)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, tables, dtype=np.int32)), pa.array(fps.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc", "t", "fps"])
