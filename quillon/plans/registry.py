@@ -208,15 +208,10 @@ def ngram_backoff(spark, d):
 def beam_decode(spark, d):
     seq = cut(_seq(spark, d))
     part, begin, vocabulary = _sizes(seq)
-    counts = sequence_lm.bounded(sequence_lm.ngram_counts(_tokens(spark, d, seq), 2), "n-gram counts")
-    table = {(tuple(r.context), r.token): r.n for r in counts}
-    totals: dict = {}
-    for (c, _), n in table.items():
-        totals[c] = totals.get(c, 0) + n
-    items = sequence_lm.bounded(dataset.popularity(seq, _item_ids(spark, d), "item_idx"), "items")
-    popular = [r.item_idx for r in sorted(items, key=lambda r: (-r.n, r.item_idx))]
+    model = sequence_lm.Model.of(sequence_lm.ngram_counts(_tokens(spark, d, seq), 2))
+    popular = sequence_lm.most_popular(dataset.popularity(seq, _item_ids(spark, d), "item_idx"), "item_idx")
     test = dataset.leave_one_out(seq, "user_idx")[2]
-    return sequence_lm.beam_decode(test, "user_idx", table, totals, {i: (i,) for i in popular}, popular, 2, ALPHA, vocabulary, begin, part, 64, 10).select("user_idx", _J("preds").alias("preds"))
+    return sequence_lm.beam_decode(test, "user_idx", model, None, (popular, popular[:, None]), popular, 2, ALPHA, vocabulary, begin, part, 64, 10).select("user_idx", _J("preds").alias("preds"))
 
 
 # ---- vectors and codes

@@ -4,6 +4,7 @@ import heapq
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -178,3 +179,35 @@ def test_stream_of_codes(spark, tmp_path):
     assert q.awaitTermination(60)
     want = {r.key: r.codes for r in quantize.residual_codes(rows, "id", "x", books).collect()}
     assert {r.key: r.codes for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_decoding_looks_at_few_of_many_items(spark):
+    """30,000 items of one token each: a user's search doesn't go through all of them, and finds what scoring all of them does."""
+    n, users, part, begin, vocabulary, alpha = 30_000, 4_000, 30_000, 30_001, 30_002, 0.01
+    rng = random.Random(5)
+    skewed = lambda: min(n - 1, int(rng.paretovariate(0.5)) - 1)
+    lists = [[skewed() for _ in range(4)] for _ in range(users)]
+    table: dict = {}
+    for s in ([begin, *(t for i in u for t in (i, part))] for u in lists):
+        for p in range(1, len(s)):
+            for size in range(min(3, p + 1)):
+                key = (tuple(s[p - size : p]), s[p])
+                table[key] = table.get(key, 0) + 1
+    totals: dict = {}
+    for (c, _), k in table.items():
+        totals[c] = totals.get(c, 0) + k
+    popular, df = list(range(n)), spark.createDataFrame(list(enumerate(lists)), "u long, history array<int>")
+    began = time.time()
+    got = {r.u: r.preds for r in sequence_lm.beam_decode(df, "u", table, totals, {i: (i,) for i in popular}, popular, 3, alpha, vocabulary, begin, part, 64, 10).collect()}
+    assert time.time() - began < 60
+
+    def logp(context, token):
+        for c in (context, context[1:], ()):
+            if table.get((c, token)):
+                return math.log((table[c, token] + alpha) / (totals[c] + alpha * vocabulary))
+        return math.log(alpha / (totals[()] + alpha * vocabulary))
+
+    for u in range(0, users, 800):
+        live = sorted(((logp((lists[u][-1], part), i), i) for i in range(n)), key=lambda x: -x[0])[:64]
+        best = [i for _, i in sorted(((s + logp((part, i), part), i) for s, i in live), key=lambda x: -x[0])]
+        assert got[u] == ([i for i in best if i not in lists[u]] + [i for i in popular if i not in lists[u] and i not in best])[:10]
