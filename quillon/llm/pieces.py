@@ -30,7 +30,7 @@ from .decontaminate import _bound, _spread, stable_order, suffix_array
 
 MARK = "▁"
 #: Distinct cuts that a worker remembers; and bytes of text in a batch.
-MEMO, BATCH_BYTES = 150_000, 1 << 20
+MEMO, BATCH_BYTES = 150_000, 1 << 18
 #: Characters of a part that has a heap of its own.
 LONG = 256
 

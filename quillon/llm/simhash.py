@@ -10,7 +10,8 @@ builds a tree of its own over its members and compares them with its visitors ex
 pairs, not all pairs, so that groups of copies stay linear.
 
 ``near_duplicates`` links fingerprints alone (three words, 3 bits). ``keep_one`` takes five words and a Jaccard similarity of 0.8 or more: it links by ``TABLES``
-independent fingerprints of 48 bits within 3 bits each and verifies each link on the texts' shingle sets; of such texts two with the fewest shared shingles may stay apart in all tables.
+independent fingerprints of 48 bits within 3 bits each and verifies each link on the texts' shingle sets; of such texts two with the fewest shared shingles may stay apart in all tables. It finds near fingerprints by equal blocks:
+first a spanning forest, whose links are verified, then all near pairs between the classes that these make, so that a text that fails against one of a group meets all others.
 
 Nulls and empty texts have no words and fingerprint zero, and are linked like any other. Rows are
 kept as they are: repeated rows are rows of one component, null ids have the component of their text. Columns of any other name are let be. A text is handled whole by one task.
@@ -19,6 +20,7 @@ kept as they are: repeated rows are rows of one component, null ids have the com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, chunked, cut, free, give_back, lean, maybe_in, mix, rows, text_bytes
+from .common import PASS_BYTES, SPACE_WORDS, Words, chunked, cut, free, give_back, lean, maybe_in, mix, rows, text_bytes
 from .components import connected
 
 #: Fingerprints that a shard should hold, that a task takes as its own at most, and that a leaf of its own tree should hold.
@@ -39,8 +41,8 @@ TABLES, SHINGLE, SIMILARITY = 32, 5, 0.8
 ROUNDS = 1
 #: Bits of each of these: fewer bits find more of the near pairs that a radius of 3 can, and 48 keep chance pairs rare up to 10**11 texts.
 TABLE_BITS = 48
-#: Bytes of text that one pass over shingles takes; a longer text is a pass of its own.
-PASS_BYTES = 1 << 18
+#: Rows that agree in a choice of blocks and are compared all with all.
+CROWD = 512
 #: A byte's bits as eight counters of a byte each.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
 
@@ -202,6 +204,115 @@ def links(distinct: DataFrame, radius: int = 3, kind: str | None = None, bits: i
     return visits.groupBy("kind", "shard", "part").applyInArrow(pairs, "kind int, a long, b long")
 
 
+def candidates(x: np.ndarray, label: np.ndarray, radius: int, bits: int, at: np.ndarray | None = None, left: tuple[int, ...] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of rows within the radius whose labels differ when they are looked at; a pair may come more than once.
+
+    The bits are cut into radius + 2 or 3 blocks, of which two near rows agree in 2 or 3 at least: rows with equal values of these blocks are compared, for
+    each choice of blocks. Rows of a choice that agree in many are cut by their other bits in the same way.
+    """
+    at = np.arange(len(x)) if at is None else at
+    left = tuple(range(bits)) if left is None else left
+    whole = 2 if len(at) < 1 << 17 else 3
+    cuts = [i * len(left) // (radius + whole) for i in range(radius + whole + 1)]
+    blocks = [sum(1 << b for b in left[a:b]) for a, b in zip(cuts, cuts[1:])]
+    for chosen in combinations(range(radius + whole), whole):
+        mask = sum(blocks[k] for k in chosen)
+        key = x[at] & np.uint64(mask)
+        by = np.argsort(key, kind="stable")
+        key, row = key[by], at[by]
+        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(key)))
+        rest = tuple(b for b in left if not mask >> b & 1)
+        crowd = size > (CROWD if len(rest) >= 2 * (radius + 2) else len(key))
+        for h in np.flatnonzero(crowd).tolist():
+            mine = row[head[h] : head[h] + size[h]]
+            if (label[mine] != label[mine[0]]).any():
+                yield from candidates(x, label, radius, bits, mine, rest)
+        group = np.cumsum(new) - 1
+        ahead = np.where(crowd[group], 0, (head + size)[group] - np.arange(len(key)) - 1)  # rows of its group after each
+        i, k = np.flatnonzero(ahead > 0), 1
+        while len(i):
+            a, b = row[i], row[i + k]
+            ok = label[a] != label[b]
+            a, b = a[ok], b[ok]
+            near = np.bitwise_count(x[a] ^ x[b]) <= radius
+            if near.any():
+                yield a[near], b[near]
+            k += 1
+            i = i[ahead[i] >= k]
+
+
+def forest(x: np.ndarray, radius: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of distinct fingerprints that connect what all near pairs connect."""
+    label, out = np.arange(len(x)), []
+    for a, b in candidates(x, label, radius, bits):
+        while len(a):
+            la, lb = label[a], label[b]
+            go = la != lb
+            a, b, la, lb = a[go], b[go], la[go], lb[go]
+            if not len(a):
+                break
+            high, low = np.maximum(la, lb), np.minimum(la, lb)
+            order = np.lexsort((low, high))
+            once = order[np.append(True, high[order][1:] != high[order][:-1])]  # one link down from each label
+            out.append((x[a[once]], x[b[once]]))
+            to = np.arange(len(x))
+            to[high[once]] = low[once]
+            while (to[to] != to).any():
+                to = to[to]
+            label[:] = to[label]
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (x[:0], x[:0])
+
+
+def dealt(rows_: DataFrame, n: int, radius: int, bits: int) -> DataFrame:
+    """Rows (kind, fp, ...) with their shard: one a kind, or for kinds of over ``TASK_ROWS`` rows one for each value of each of radius + 1 blocks, or several values of one, so that near rows share one."""
+    if n <= TASK_ROWS:
+        return rows_.withColumn("shard", F.lit(0).cast("long"))
+    shards, cuts = -(-n // SHARD_ROWS), [i * bits // (radius + 1) for i in range(radius + 2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(b.schema.get_field_index("fp")).to_numpy().view(np.uint64)
+            for j, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                value = fp >> np.uint64(lo) & np.uint64((1 << (hi - lo)) - 1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((mix(value + np.uint64(1)) % np.uint64(shards)).astype(np.int64) + j * shards)], names=[*b.schema.names, "shard"])
+
+    return rows_.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows_.schema) + ", shard long")
+
+
+def block_links(distinct: DataFrame, radius: int, bits: int) -> DataFrame:
+    """(kind, a, b): as ``links``, by equal blocks: what a fingerprint costs hardly grows with their number."""
+    n = distinct.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+
+    def pairs(table: pa.Table) -> pa.Table:
+        a, b = forest(np.sort(table.column("fp").to_numpy().view(np.uint64)), radius, bits)
+        give_back()
+        return pa.table({"kind": pa.array(np.full(len(a), table.column("kind")[0].as_py(), np.int32)), "a": a.view(np.int64), "b": b.view(np.int64)})
+
+    rows_ = distinct.select(F.col("kind").cast("int").alias("kind"), "fp")
+    return dealt(rows_, n, radius, bits).groupBy("kind", "shard").applyInArrow(pairs, "kind int, a long, b long")
+
+
+def apart(rows_: DataFrame, n: int, radius: int, bits: int) -> DataFrame:
+    """(a, b): all pairs of texts t of different roots with fingerprints within the radius, of rows (kind, fp, t, root), n a kind at most."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        x, t = table.column("fp").to_numpy().view(np.uint64), table.column("t").to_numpy()
+        label, found, size = np.unique(table.column("root").to_numpy(), return_inverse=True)[1], [np.zeros((0, 2), np.int64)], 0
+        for i, j in candidates(x, label, radius, bits):
+            found.append(np.stack([np.maximum(t[i], t[j]), np.minimum(t[i], t[j])], axis=1))
+            size += len(i)
+            if size > 1 << 21:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                size = len(found[0]) >> 1
+        out = np.unique(np.concatenate(found), axis=0)
+        give_back()
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    return dealt(rows_.select(F.col("kind").cast("int").alias("kind"), "fp", "t", "root"), n, radius, bits).groupBy("kind", "shard").applyInArrow(pairs, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp, component): every row with the smallest id that its links reach, itself included."""
     each = cut(fingerprints(docs, words, seed, id_col, text_col))
@@ -280,13 +391,18 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _joined(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """(t, root) of the classes that similar pairs (a, b, n) connect.
+def _texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each text of the pairs (a, b) once."""
+    ends = pairs.select(F.col("a").alias("t")).distinct().unionByName(pairs.select(F.col("b").alias("t")).distinct())
+    return cut(texts.where(maybe_in(ends, "t")(F.col("t"))).groupBy("t").agg(F.any_value("text").alias("text")))
+
+
+def _joined(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(t, root) of the classes that similar pairs (a, b, n) connect, and the similar pairs.
 
     Each text's pair of the most tables is looked at, then, ``ROUNDS`` times in all, its next one that is still between classes, then all others between classes.
     """
-    ends = pairs.select(F.col("a").alias("t")).distinct().unionByName(pairs.select(F.col("b").alias("t")).distinct())
-    texts = cut(texts.where(maybe_in(ends, "t")(F.col("t"))).groupBy("t").agg(F.any_value("text").alias("text")))
+    texts = _texts(texts, pairs)
     left, good = pairs, None
     for _ in range(ROUNDS):
         first = cut(left.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
@@ -297,8 +413,9 @@ def _joined(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
         left = left.join(first.withColumnRenamed("b", "f"), "a").where("b <> f").join(of("a"), "a", "left").join(of("b"), "b", "left")
         left = cut(left.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "n"))
         if left.isEmpty():
-            return roots
-    return connected(good.unionByName(verified(texts, left.select("a", "b"), words, least)), "a", "b")
+            return roots, good
+    good = cut(good.unionByName(verified(texts, left.select("a", "b"), words, least)))
+    return connected(good, "a", "b"), good
 
 
 def classes(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, tables: int = TABLES, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,10 +434,15 @@ def classes(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, ta
     first = cut(fps.groupBy("kind", "fp").agg(F.min("t").alias("low"), F.max("t").alias("most")))
     equal = fps.join(first.where("low < most"), ["kind", "fp"]).where("t <> low").select(F.col("t").alias("a"), F.col("low").alias("b"))
     low = lambda c: first.select("kind", F.col("fp").alias(c), F.col("low").alias(f"t{c}"))
-    near = links(first, radius, "kind", TABLE_BITS).join(low("a"), ["kind", "a"]).join(low("b"), ["kind", "b"]).select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    near = block_links(first, radius, TABLE_BITS).join(low("a"), ["kind", "a"]).join(low("b"), ["kind", "b"]).select(F.col("ta").alias("a"), F.col("tb").alias("b"))
     pairs = cut(equal.unionByName(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")))
-    roots = _joined(known.select("t", "text"), pairs, words, least).withColumnRenamed("node", "t")
-    return each.select("doc", "t").join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+    roots, good = _joined(known.select("t", "text"), pairs, words, least)
+    rooted = fps.join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    n = each.select("t").distinct().count()
+    more = cut(apart(rooted, n, radius, TABLE_BITS).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))  # pairs that a forest leaves out, between classes
+    if not more.isEmpty():
+        roots = connected(good.unionByName(verified(_texts(known.select("t", "text"), more), more, words, least)), "a", "b")
+    return each.select("doc", "t").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:

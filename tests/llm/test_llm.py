@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -703,3 +704,31 @@ def test_links_do_not_depend_on_the_order(spark):
     x = np.unique(np.concatenate([x[i % 60 :][:1] ^ (1 << rng.integers(0, 40, 1)) for i in range(900)] + [x]))
     got = [sorted(simhash.links(spark.createDataFrame([(int(v),) for v in rng.permutation(x)], "fp long").repartition(n)).collect()) for n in (1, 5)]
     assert got[0] == got[1] and len(got[0]) > 500
+
+
+@pytest.mark.parametrize("task_rows", [1 << 19, 500])
+def test_near_fingerprints_by_blocks(spark, monkeypatch, task_rows):
+    """All near pairs of different classes, in groups that agree in many blocks too and over several shards, and a forest of them."""
+    monkeypatch.setattr(simhash, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 48, 12, dtype=np.uint64)
+    flip = lambda k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 48, k).astype(np.uint64))
+    x = np.unique(np.concatenate([np.array([b ^ flip(rng.integers(1, 6)) for b in np.repeat(base, 40)]), base[0] >> np.uint64(20) << np.uint64(20) | rng.integers(0, 1 << 20, 700, dtype=np.uint64)]))
+    near = np.triu(np.bitwise_count(x[:, None] ^ x[None]) <= 3, 1)
+    root = np.arange(len(x)) // 3
+    want = {(int(max(x[i], x[j])), int(min(x[i], x[j]))) for i, j in zip(*np.nonzero(near)) if root[i] != root[j]}
+    rows = spark.createDataFrame([(0, int(v), int(v), int(r)) for v, r in zip(x, root)], "kind int, fp long, t long, root long")
+    assert {(r.a, r.b) for r in simhash.apart(rows, len(x), 3, 48).collect()} == want
+    found = simhash.block_links(rows.select("kind", "fp"), 3, 48)
+    got = {(r.node, r.root) for r in components.connected(found, "a", "b").collect()}
+    pairs = spark.createDataFrame([(int(x[i]), int(x[j])) for i, j in zip(*np.nonzero(near))], "a long, b long")
+    assert got == {(r.node, r.root) for r in components.connected(pairs, "a", "b").collect()}
+
+
+def test_blocks_of_many_fingerprints():
+    """What one costs hardly grows with their number; a tree took 6.3 s for these, and grew."""
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1 << 17, dtype=np.uint64))
+    began = time.process_time()
+    simhash.forest(x, 3, 48)
+    assert time.process_time() - began < 3
