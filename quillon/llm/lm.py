@@ -10,7 +10,7 @@ predictive probabilities. Discounts are estimated from the counts of counts, the
 Chunks of texts become lists of distinct (word, class) pairs with training counts, dealt by word to buckets that hold a word
 with all its contexts. Sweeps run over the buckets; only the totals of each class meet. The buckets' answers go back to the chunks, which are read again,
 as streams of places in those lists, and scored. A chunk's name holds a hash of its words: if a second reading gives other chunks, scoring stops with an error, so documents should come
-from a table. Model and shuffle grow with the corpus; the driver sees two numbers a class, of at most 2**``MAX_BITS`` classes. A bucket's row of a very frequent word grows with the number of chunks.
+from a table. Model and shuffle grow with the corpus; the driver sees two numbers a class, whose number grows with the text without a bound. A bucket's row of a very frequent word grows with the number of chunks.
 
 Tokens are words (runs of bytes other than white space, ASCII case ignored) and one end a text; null texts are empty. Words are told apart by 64-bit hashes.
 Repeated rows are scored one by one; rows without an id are training rows; an empty table gives none. Other columns are left out. A text is handled whole by one task.
@@ -33,8 +33,8 @@ from .langid import held_out
 BURN, DRAWS, INNER, THETA = 2, 3, 2, 1.0
 #: Customers whose tables are drawn exactly, and that are seated one by one.
 EXACT, ONE_BY_ONE = 64, 128
-#: Contexts are at least 2**MIN_BITS classes, one for every 64 KiB of text, and 2**MAX_BITS at most.
-MIN_BITS, MAX_BITS = 16, 18
+#: Contexts are at least 2**MIN_BITS classes, and one for every 64 KiB of text.
+MIN_BITS = 16
 #: Bytes of text in a chunk and in a bucket's share.
 CHUNK, BUCKET = 3 << 20, 16 << 20
 END, BEGIN = np.uint64(2), np.uint64(4)  # word hashes are odd
@@ -237,13 +237,18 @@ def _start(model: DataFrame, classes: int) -> tuple[State, int]:
     return State(guess(c1, c2), guess(e1, e2), x[:classes], tables, tables.sum(), words, int(words)), int(tokens)
 
 
+def classes_of(size: int) -> int:
+    """Classes of contexts for so many bytes of text."""
+    return 1 << max(MIN_BITS, (size >> 16).bit_length())
+
+
 def score(docs: DataFrame, train_held: tuple[int, int] = (5, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
     known = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held", held_out("doc_id", *train_held))
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(0, (size // BUCKET).bit_length())
-    classes = 1 << min(MAX_BITS, max(MIN_BITS, (size >> 16).bit_length()))
+    classes = classes_of(size)
     cut_up = "target long, chunk long, words binary, rest binary"
     merged = cut(known.mapInArrow(lambda x: _chunks(x, buckets, classes, False), cut_up).groupBy("target").applyInArrow(lambda t: _merge(t, classes), "target long, words binary, rest binary, asked array<struct<chunk: long, words: binary, rest: binary>>"))
     model = merged.drop("asked")
