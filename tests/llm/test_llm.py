@@ -732,3 +732,32 @@ def test_blocks_of_many_fingerprints():
     began = time.process_time()
     simhash.forest(x, 3, 48)
     assert time.process_time() - began < 3
+
+
+def test_windows_of_a_large_group_all_meet():
+    """Twenty texts share a line of 16 shingles, two of them all around it: those two meet, whoever is first; not if the later one's words are in a passage of one component already."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    line = rng.integers(0, 1 << 32, 16, dtype=np.uint32)
+    around = [[rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (40, 35)] for _ in range(20)]
+    around[17] = around[11]
+    grams = [np.concatenate([a, line, b]).tobytes() for a, b in around]
+    twice = [np.tile(rng.integers(0, 1 << 32, 2, dtype=np.uint32), 45).tobytes()] * 2  # few different shingles, in many places
+
+    def meetings(covered, root):
+        place = [(100 + i) << 32 | 45 << 16 | 45 for i in range(22)]
+        columns = [[7] * 20 + [8] * 2, list(range(20)) + [30, 31], place, root + [30, 31], covered + [False] * 2]
+        batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(grams + twice, pa.binary())], names=["value", "doc", "place", "root", "covered", "grams"])
+        out = [r for b in passages._others(46)(iter([batch.slice(0, 13), batch.slice(13)])) for r in b.to_pylist()]
+        return {(r["a"], r["b"], r["d"], r["lo"], r["hi"]) for r in out}
+
+    small = (31, 30, 1, 76, 166)
+    assert meetings([False] * 20, list(range(20))) == {(17, 11, 6, 72, 162), small}
+    assert meetings([True] * 20, list(range(20))) == {(17, 11, 6, 72, 162), small}  # of two components
+    assert meetings([True] * 20, [0] * 20) == {small}
+
+
+def test_classes_of_contexts_grow():
+    assert lm.classes_of(0) == lm.classes_of(1 << 20) == 1 << 16
+    assert lm.classes_of(1 << 37) > lm.classes_of(1 << 36) > 1 << 18
