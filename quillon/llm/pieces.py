@@ -14,6 +14,7 @@ Null texts are empty; empty texts have no ids. Repeated rows give a row each, an
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
@@ -29,8 +30,8 @@ from .common import free, lean, rows, text_bytes
 from .decontaminate import _bound, _spread, stable_order, suffix_array
 
 MARK = "▁"
-#: Distinct cuts that a worker remembers; and bytes of text in a batch.
-MEMO, BATCH_BYTES = 150_000, 1 << 18
+#: Distinct cuts that a worker remembers; bytes of text in a batch; and characters of cuts that are encoded at a time.
+MEMO, BATCH_BYTES, CUT_CHARS = 150_000, 1 << 20, 1 << 18
 #: Characters of a part that has a heap of its own.
 LONG = 256
 
@@ -62,7 +63,9 @@ class Vocabulary:
         for i, p in enumerate(self.pieces):
             self.grid[i, : len(p)] = [code[c] for c in p]
         self.text = {int(i): p.replace(MARK, " ").encode() for i, p in zip(plain, self.pieces)} | {int(i): bytes([b]) for b, i in enumerate(self.byte)}
+        #: Ids of the cuts met last, and of those met before them.
         self.memo: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
 
     def edges(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted (start * (depth + 1) + length), and which piece, of every occurrence of every piece."""
@@ -215,23 +218,34 @@ class Vocabulary:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [re.findall(f"{MARK}+[^{MARK}]*", MARK + t.decode("utf-8", "replace").replace(" ", MARK)) if t else [] for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        fresh = list(set().union(*cut) - self.memo.keys())
-        if fresh:
-            self._cuts(fresh)
+            self.past, self.memo = self.memo, {}
+        fresh = set().union(*cut) - self.memo.keys()
+        again = fresh & self.past.keys()
+        self.memo |= {c: self.past[c] for c in again}
+        fresh = list(fresh - again)
+        ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))
+        for part in np.split(np.array(fresh, object), np.searchsorted(ends, np.arange(CUT_CHARS, int(ends[-1]) if fresh else 0, CUT_CHARS))):
+            if len(part):
+                self._cuts(part.tolist())
         return [b"".join(map(self.memo.__getitem__, x)) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:]
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """The model at the path, with what this worker has encoded by it in earlier tasks."""
+    return Vocabulary(path)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """All rows and columns, with ``__ids`` (32-bit little-endian ids) and, if asked for, ``__decoded`` (their text); these replace the table's own."""
     (text,) = free(docs, "__text")
     out = lean(docs).withColumns({text: F.col(text_col).cast("string"), "__ids": F.lit(b"").cast("binary")} | ({"__decoded": F.lit("").cast("string")} if decoded else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(path)
+        v = vocabulary(path)
         for batch, texts in rows(batches, text, BATCH_BYTES):
             ids = v.encode(texts)
             new = {"__ids": pa.array(ids, pa.binary())}
@@ -247,7 +261,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "__ids") -> DataFrame:
     out = encoded.withColumn("__decoded", F.lit("").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(path)
+        v = vocabulary(path)
         for batch in batches:
             text = [v.decode(x) for x in text_bytes(batch.column(batch.schema.get_field_index(ids_col)))]
             yield pa.RecordBatch.from_arrays([pa.array([t.decode("utf-8", "replace") for t in text], pa.string()) if f == "__decoded" else batch.column(i) for i, f in enumerate(batch.schema.names)], names=batch.schema.names)

@@ -761,3 +761,19 @@ def test_windows_of_a_large_group_all_meet():
 def test_classes_of_contexts_grow():
     assert lm.classes_of(0) == lm.classes_of(1 << 20) == 1 << 16
     assert lm.classes_of(1 << 37) > lm.classes_of(1 << 36) > 1 << 18
+
+
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """A worker remembers words over tasks, and frequent ones over those that come once; cuts of any number go in parts."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "MEMO", 50)
+    monkeypatch.setattr(pieces, "CUT_CHARS", 40)
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.vocabulary(pieces.model_path())
+    assert v is pieces.vocabulary(pieces.model_path())
+    met, cuts = [], v._cuts
+    monkeypatch.setattr(v, "_cuts", lambda x: (met.extend(x), cuts(x)))
+    for i in range(12):
+        text = "always the same words " + " ".join(f"once{i}x{j}" for j in range(30))
+        assert v.encode([text.encode()]) == [np.array(sp.encode(text), "<i4").tobytes()]
+    assert met.count("▁always") <= 1 and len(met) >= 360 and len(v.memo) + len(v.past) < 200
