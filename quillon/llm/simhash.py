@@ -394,7 +394,7 @@ def verified(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> Da
 def _texts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each text of the pairs (a, b) once."""
     ends = pairs.select(F.col("a").alias("t")).distinct().unionByName(pairs.select(F.col("b").alias("t")).distinct())
-    return cut(texts.where(maybe_in(ends, "t")(F.col("t"))).groupBy("t").agg(F.any_value("text").alias("text")))
+    return cut(maybe_in(texts, "t", ends, "t", "some").where("some").groupBy("t").agg(F.any_value("text").alias("text")))
 
 
 def _joined(texts: DataFrame, pairs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
@@ -456,7 +456,8 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     each = found.groupBy("doc", "t", "root").agg(F.count("*").alias("n"))
     lost = each.join(best, "root").select(F.col("doc").alias(doc), F.col("t").alias(t), (F.struct("doc", "t") != F.col("w")).alias("lost"), "n")
     lost = cut(lost.where("lost or n > 1").select(doc, t, F.col("lost").alias(extra)))
-    ours = docs.withColumn(some, F.coalesce(maybe_in(lost, doc)(F.col("doc_id")), F.lit(False)) & F.col("doc_id").isNotNull())
+    ours = maybe_in(docs, "doc_id", lost, doc, some)
+    ours = ours.withColumn(some, F.col(some) & F.col("doc_id").isNotNull())
     held = ours.where(F.col(some)).withColumns({doc: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}).join(lost, [doc, t], "left")
     once = held.where(~F.col(extra)).dropDuplicates([doc, t])
     return ours.where(~F.col(some)).select(*docs.columns).unionByName(held.where(F.col(extra).isNull()).select(*docs.columns)).unionByName(once.select(*docs.columns))

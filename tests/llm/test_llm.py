@@ -11,7 +11,7 @@ import xxhash
 
 import corpus_pipeline
 from quillon.llm import components, decontaminate, langid, licenses, lm, media, passages, pieces, quality, simhash, tokenfile
-from quillon.llm.common import scratch
+from quillon.llm.common import maybe_in, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, component long, doc long"
 
@@ -777,3 +777,32 @@ def test_frequent_words_are_encoded_once(monkeypatch):
         text = "always the same words " + " ".join(f"once{i}x{j}" for j in range(30))
         assert v.encode([text.encode()]) == [np.array(sp.encode(text), "<i4").tobytes()]
     assert met.count("▁always") <= 1 and len(met) >= 360 and len(v.memo) + len(v.past) < 200
+
+
+def test_known_passages_of_a_large_group_meet_no_more():
+    """Of 300 windows of one component that share a known passage only, none meets; where 299 go on alike after it, each meets the first of those, not all of them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    some = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    line, after = some(70), some(20)
+
+    def meetings(rest):
+        grams = [np.concatenate([some(10), line, r]).tobytes() for r in rest]
+        batch = pa.table({"value": [7] * 300, "doc": range(300), "place": [100 << 32 | 45 << 16 | 54] * 300, "root": [0] * 300, "covered": [False] * 300, "left": [10] * 300, "right": [20] * 300, "grams": pa.array(grams, pa.binary())})
+        return {(r["a"], r["b"]) for b in passages._others(46)(iter(batch.to_batches())) for r in b.to_pylist()}
+
+    assert meetings([some(20) for _ in range(300)]) == set()
+    assert meetings([some(20)] + [after] * 299) == {(i, 1) for i in range(2, 300)}
+
+
+def test_filter_of_ids(spark):
+    """True for all ids of the other table and hardly any other, whatever the columns' names, without workers of its own."""
+    docs = spark.createDataFrame([(i, "x", "y") for i in [*range(2000), None]], "doc_id long, __bits string, __bucket string")
+    ids = spark.range(0, 2000, 7)
+    out = maybe_in(docs, "doc_id", ids, "id", "some")
+    got = {r.doc_id: r.some for r in out.collect()}
+    assert len(got) == 2001 and out.columns == [*docs.columns, "some"]
+    assert all(got[i] for i in range(0, 2000, 7)) and sum(got.values()) < 296 and None not in got.values()
+    assert "Python" not in out._jdf.queryExecution().toString()
+    assert not any(r.some for r in maybe_in(docs, "doc_id", ids.where("id < 0"), "id", "some").collect())
