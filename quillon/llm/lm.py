@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, cut, lean, rows
+from .common import SPACE_WORDS, Words, cut, lean, rows, tidy
 from .langid import held_out
 
 BURN, DRAWS, INNER, THETA = 2, 3, 2, 1.0
@@ -250,7 +250,7 @@ def score(docs: DataFrame, train_held: tuple[int, int] = (5, 1), id_col: str = "
     buckets = 1 << max(0, (size // BUCKET).bit_length())
     classes = classes_of(size)
     cut_up = "target long, chunk long, words binary, rest binary"
-    merged = cut(known.mapInArrow(lambda x: _chunks(x, buckets, classes, False), cut_up).groupBy("target").applyInArrow(lambda t: _merge(t, classes), "target long, words binary, rest binary, asked array<struct<chunk: long, words: binary, rest: binary>>"))
+    merged = tidy(cut(known.mapInArrow(lambda x: _chunks(x, buckets, classes, False), cut_up).groupBy("target").applyInArrow(lambda t: _merge(t, classes), "target long, words binary, rest binary, asked array<struct<chunk: long, words: binary, rest: binary>>")))
     model = merged.drop("asked")
     state, tokens = _start(model, classes)
     for i in range(BURN):
@@ -288,7 +288,8 @@ def score(docs: DataFrame, train_held: tuple[int, int] = (5, 1), id_col: str = "
                     log = np.log10(val / denominator[k_] + back[k_] * np.repeat(prob, each_))
                     yield pa.RecordBatch.from_arrays([pa.array([ask["chunk"].as_py()]), pa.array([target]), pa.array([_squeeze(count)], pa.binary()), pa.array([_squeeze(log.astype(np.float32))], pa.binary())], names=["chunk", "bucket", "byword", "bypair"])
 
-    answers = merged.select("target", "words", "rest", "asked").mapInArrow(answer, "chunk long, bucket long, byword binary, bypair binary")
+    # The lists that were dealt are in the checkpoint too: they go before the answers take their place.
+    answers = tidy(merged).select("target", "words", "rest", "asked").mapInArrow(answer, "chunk long, bucket long, byword binary, bypair binary")
 
     def judge(key: tuple, stream: pa.Table, heard: pa.Table) -> pa.Table:
         """Scores of a chunk's texts."""

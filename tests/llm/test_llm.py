@@ -484,6 +484,13 @@ def test_language_model(spark, docs, rows, nothing):
     assert lm.score(nothing).count() == 0
 
 
+def test_lists_dealt_go_before_the_answers(docs, monkeypatch):
+    seen, tidy = [], lm.tidy
+    monkeypatch.setattr(lm, "tidy", lambda df: seen.append(df.columns) or tidy(df))
+    assert lm.score(docs).count() == docs.count()
+    assert seen == [["target", "words", "rest", "asked"]] * 2  # after they are gathered, and before the answers
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     n = np.full(20000, 3)
