@@ -803,6 +803,19 @@ def test_known_passages_of_a_large_group_meet_no_more():
     assert meetings([some(20)] + [after] * 299) == {(i, 1) for i in range(2, 300)}
 
 
+def test_a_repeated_shingle_counts_as_often_as_the_other_has_it():
+    """Two texts have a shingle ten times, two others sixty times: a run of the latter is no passage of the former."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    some = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    one = some(1)
+    few = np.concatenate([some(50), np.tile(one, 10), some(49)])
+    grams = [few, few, *(np.concatenate([some(20), np.tile(one, 60), some(29)]) for _ in range(2))]
+    batch = pa.table({"value": [7] * 4, "doc": range(4), "place": [100 << 32 | 54 << 16 | 54] * 4, "root": range(4), "covered": [False] * 4, "grams": pa.array([g.tobytes() for g in grams], pa.binary())})
+    assert {(r["a"], r["b"]) for b in passages._others(46)(iter(batch.to_batches())) for r in b.to_pylist()} == {(1, 0), (3, 2)}
+
+
 def test_filter_of_ids(spark):
     """True for all ids of the other table and hardly any other, whatever the columns' names, without workers of its own."""
     docs = spark.createDataFrame([(i, "x", "y") for i in [*range(2000), None]], "doc_id long, __bits string, __bucket string")
