@@ -816,6 +816,25 @@ def test_a_repeated_shingle_counts_as_often_as_the_other_has_it():
     assert {(r["a"], r["b"]) for b in passages._others(46)(iter(batch.to_batches())) for r in b.to_pylist()} == {(1, 0), (3, 2)}
 
 
+def test_runs_of_one_shingle_meet_once():
+    """Of 120 windows of one component with a run of 46 to 54 of one shingle, each has that run from the first, whose passage is verified at once; runs of 38 to 45 between different words are no passage of any other."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    some = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    one = some(1)
+
+    def meetings(runs):
+        grams = [np.concatenate([some(54), np.tile(one, n), some(55 - n)]) for n in runs]
+        assert runs[0] >= 46 or not any(passages.passages_of(x, y, 46, 0.8) for x in grams for y in grams if x is not y)
+        batch = pa.table({"value": [7] * 120, "doc": range(120), "place": [100 << 32 | 60 << 16 | 60] * 120, "root": [0] * 120, "covered": [False] * 120, "grams": pa.array([g.tobytes() for g in grams], pa.binary())})
+        return [r for b in passages._others(46)(iter(batch.to_batches())) for r in b.to_pylist()]
+
+    runs = [46 + i % 9 for i in range(120)]
+    assert [(r["a"], r["b"], r.get("first"), r.get("last")) for r in sorted(meetings(runs), key=lambda r: r["a"])] == [(i, 0, 100, 99 + runs[i]) for i in range(1, 120)]
+    assert meetings([38 + i % 8 for i in range(120)]) == []
+
+
 def test_filter_of_ids(spark):
     """True for all ids of the other table and hardly any other, whatever the columns' names, without workers of its own."""
     docs = spark.createDataFrame([(i, "x", "y") for i in [*range(2000), None]], "doc_id long, __bits string, __bucket string")
