@@ -206,12 +206,14 @@ def ngram_backoff(spark, d):
 
 @query()
 def beam_decode(spark, d):
+    """The ten best items of every user after the last one of the history, of all items."""
     seq = cut(_seq(spark, d))
     part, begin, vocabulary = _sizes(seq)
-    model = sequence_lm.Model.of(sequence_lm.ngram_counts(_tokens(spark, d, seq), 2))
+    counts = cut(sequence_lm.ngram_counts(_tokens(spark, d, seq), ORDER))
+    test, shared = sequence_lm.last_contexts(dataset.leave_one_out(seq, "user_idx")[2], counts, part, "after")
+    model = sequence_lm.Model.of(shared)
     popular = sequence_lm.most_popular(dataset.popularity(seq, _item_ids(spark, d), "item_idx"), "item_idx")
-    test = dataset.leave_one_out(seq, "user_idx")[2]
-    return sequence_lm.beam_decode(test, "user_idx", model, None, (popular, popular[:, None]), popular, 2, ALPHA, vocabulary, begin, part, 64, 10).select("user_idx", _J("preds").alias("preds"))
+    return sequence_lm.beam_decode(test, "user_idx", model, None, (popular, popular[:, None]), popular, ORDER, ALPHA, vocabulary, begin, part, 0, 10, own="after").select("user_idx", _J("preds").alias("preds"))
 
 
 # ---- vectors and codes

@@ -211,3 +211,67 @@ def test_decoding_looks_at_few_of_many_items(spark):
         live = sorted(((logp((lists[u][-1], part), i), i) for i in range(n)), key=lambda x: -x[0])[:64]
         best = [i for _, i in sorted(((s + logp((part, i), part), i) for s, i in live), key=lambda x: -x[0])]
         assert got[u] == ([i for i in best if i not in lists[u]] + [i for i in popular if i not in lists[u] and i not in best])[:10]
+
+
+def test_beam_decode_uses_the_history(spark):
+    """The query's predictions are the best of all items after a user's last item, which the search depends on."""
+    from quillon.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.user_idx: r.preds for r in registry.QUERIES["beam_decode"](spark, sf).collect()}
+    seqs = {r.user_idx: list(r["items"]) for r in registry._seq(spark, sf).collect()}
+    part = max(max(s) for s in seqs.values()) + 1
+    table, totals = {}, {}
+    for s in seqs.values():
+        tokens = [part + 1, *(t for i in s[:-2] for t in (i, part))]
+        for p in range(1, len(tokens) if len(s) >= 3 else 0):
+            for n in range(min(3, p + 1)):
+                c = tuple(tokens[p - n : p])
+                table[c, tokens[p]] = table.get((c, tokens[p]), 0) + 1
+                totals[c] = totals.get(c, 0) + 1
+
+    def logp(context, token):
+        for c in (context, context[1:], ()):
+            if table.get((c, token)):
+                return math.log((table[c, token] + 0.001) / (totals[c] + 0.001 * (part + 2)))
+        return math.log(0.001 / (totals[()] + 0.001 * (part + 2)))
+
+    popular = sorted(range(part), key=lambda i: (-sum(i in s[:-2] for s in seqs.values() if len(s) >= 3), i))
+    for u, text in got.items():
+        history = seqs[u][:-1]
+        score = {i: logp((history[-1], part), i) + logp((part, i), part) for i in range(part) if i not in history}
+        best = sorted(score.values(), reverse=True)[:10]
+        assert np.allclose([score[int(i)] for i in text.split()], best) and len(set(text.split())) == len(best)
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_decoding_of_all_paths(spark, depth):
+    """Without a beam (0) the items are the best of all paths, also where the first paths of a search end badly or have been seen."""
+    rng = random.Random(depth)
+    n, part, begin, vocabulary, alpha = 600, 700, 701, 702, 0.01
+    paths = {i: (i,) if depth == 1 else (i // 25, 30 + i % 25) for i in range(n)}
+    users = [[rng.randrange(n) if rng.random() < 0.7 else rng.randrange(9) for _ in range(rng.choice([3, 5, 150]))] for _ in range(30)]
+    table: dict = {}
+    for u in users:
+        s = [begin, *(t for i in u for t in (*paths[i], *([part] * (i % 7 > 2))))]  # many have no parting token
+        for p in range(1, len(s)):
+            for k in range(min(3, p + 1)):
+                table[tuple(s[p - k : p]), s[p]] = table.get((tuple(s[p - k : p]), s[p]), 0) + 1
+    totals: dict = {}
+    for (c, _), k in table.items():
+        totals[c] = totals.get(c, 0) + k
+
+    def logp(context, token):
+        for c in (context[-2:], context[-1:], ()):
+            if table.get((c, token)):
+                return math.log((table[c, token] + alpha) / (totals[c] + alpha * vocabulary))
+        return math.log(alpha / (totals[()] + alpha * vocabulary))
+
+    df = spark.createDataFrame(list(enumerate(users)), "u long, history array<int>")
+    got = {r.u: r.preds for r in sequence_lm.beam_decode(df, "u", table, totals, paths, list(range(n)), 3, alpha, vocabulary, begin, part, 0, 10).collect()}
+    for u, history in enumerate(users):
+        context, score = (*paths[history[-1]], part), {}
+        for i in set(range(n)) - set(history):
+            full = (*context, *paths[i], part)
+            score[i] = sum(logp(full[:k], full[k]) for k in range(len(context), len(full)))
+        assert len(set(got[u])) == 10 and np.allclose([score[i] for i in got[u]], sorted(score.values(), reverse=True)[:10])
